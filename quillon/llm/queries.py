@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .near_dedup import near_duplicates
+from .repetition import repetition_rules
 from .substring_dedup import dedup_substrings
 
 
@@ -15,6 +17,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts and verdicts from suffix arrays, for every document."""
+    ruled = repetition_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ruled.drop("text")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words found in every document."""
+    found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near"
+    )
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets have a similarity of 0.8 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -27,6 +43,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_repetition": op2_suffix_repetition,
+    "op3_decontaminate": op3_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
 }
