@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .huffman import token_files
 from .near_dedup import near_duplicates
 from .repetition import repetition_rules
 from .substring_dedup import dedup_substrings
@@ -42,11 +43,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs, k=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written as Huffman-coded files and read back."""
+    import public_tokenizers
+
+    return token_files(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_repetition": op2_suffix_repetition,
     "op3_decontaminate": op3_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_huffman_tokens": op10_huffman_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {}
