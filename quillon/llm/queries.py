@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .huffman import token_files
 from .near_dedup import near_duplicates
 from .repetition import repetition_rules
+from .sentencepiece_trie import encode_and_decode
 from .substring_dedup import dedup_substrings
 
 
@@ -43,6 +44,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs, k=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to SentencePiece ids and decoded again."""
+    import public_tokenizers
+
+    return encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written as Huffman-coded files and read back."""
     import public_tokenizers
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_huffman_tokens": op10_huffman_tokens,
 }
 
