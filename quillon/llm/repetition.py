@@ -197,9 +197,7 @@ def repetition_rules(
     words.
     """
     docs = docs.drop(*_FEATURES, "covered_fraction", "base_failed", "kept")
-    schema = docs.schema
-    for name in _FEATURES:
-        schema = schema.add(name, "long")
+    schema = tx.schema_with(docs, ", ".join(f"{name} long" for name in _FEATURES))
     counted = docs.mapInArrow(lambda it: _add(it, text_col, window, min_words), schema)
     failed = (F.col("n_words") < min_doc_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     share = F.when(F.col("word_chars") > 0, F.col("repeat_chars") / F.col("word_chars")).otherwise(F.lit(0.0))

@@ -271,13 +271,13 @@ def _decode(batches: Iterator[pa.RecordBatch], column: str, path: str) -> Iterat
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``, an array of int."""
     docs = docs.drop("ids")
-    return docs.mapInArrow(lambda it: _encode(it, text_col, model_path), docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(lambda it: _encode(it, text_col, model_path), tx.schema_with(docs, "ids array<int>"))
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the text of its ids."""
     tokens = tokens.drop("decoded")
-    return tokens.mapInArrow(lambda it: _decode(it, ids_col, model_path), tokens.schema.add("decoded", "string"))
+    return tokens.mapInArrow(lambda it: _decode(it, ids_col, model_path), tx.schema_with(tokens, "decoded string"))
 
 
 def _summary(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -309,5 +309,5 @@ def dedup_substrings(docs: DataFrame, k: int = 20, m: int = 4, id_col: str = "do
     by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "ranges")
     crc: Column = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.crc32(F.col(text_col).cast("binary")))
     joined = docs.join(by_doc, (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (crc == F.col("_crc")), "left").drop("_id", "_crc")
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = tx.schema_with(docs, "n_words long, n_removed long, kept_text string")
     return joined.mapInArrow(lambda it: _cut(it, k, text_col), schema)

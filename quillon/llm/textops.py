@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Random odd multipliers.
@@ -44,6 +46,11 @@ def _powers_to(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def schema_with(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` with the columns of a DDL string after its own."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: equal inputs stay equal, others spread over all bits."""
     x = x + U64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
