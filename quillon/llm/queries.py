@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .huffman import token_files
 from .near_dedup import near_duplicates
+from .quality_fm import quality_scores
 from .repetition import repetition_rules
 from .sentencepiece_trie import encode_and_decode
 from .substring_dedup import dedup_substrings
@@ -44,6 +45,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs, k=20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document from a factorisation machine."""
+    scored = quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to SentencePiece ids and decoded again."""
     import public_tokenizers
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_huffman_tokens": op10_huffman_tokens,
 }
