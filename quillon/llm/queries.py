@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_rotation, warc
 from .decontaminate import contamination
 from .huffman import token_files
 from .near_dedup import near_duplicates
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's perspective, a row per turn."""
+    return chat_rotation.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition counts and verdicts from suffix arrays, for every document."""
     ruled = repetition_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -34,6 +40,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response."""
+    made = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets have a similarity of 0.8 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -66,8 +78,10 @@ def op10_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_rotation": op1_chat_rotation,
     "op2_suffix_repetition": op2_suffix_repetition,
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
@@ -75,4 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_huffman_tokens": op10_huffman_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_rotation": chat_rotation.SQL,
+}
