@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_rotation, warc
 from .decontaminate import contamination
+from .html_tree import main_text
 from .huffman import token_files
 from .near_dedup import near_duplicates
 from .quality_fm import quality_scores
@@ -51,6 +52,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by a tree-structured model over its DOM."""
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows removed from every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_near_dedup": op5_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
