@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents in, tokenised clean documents out."""
+"""The corpus pipeline: documents in, token ids of clean, distinct documents out.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
+as Parquet and read by the next.  All stages but the last return the columns of
+``documents``; rows with a null text or id pass where a stage has nothing against
+them.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +13,66 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.decontaminate import contamination
+from quillon.llm.near_dedup import near_duplicates
+from quillon.llm.quality_fm import quality_scores
+from quillon.llm.sentencepiece_trie import encode_and_decode
 from quillon.llm.substring_dedup import dedup_substrings
 from quillon.storage import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores below 0.7 go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(docs.select(*COLUMNS), labels).where("predicted = 1").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group linked by a similarity of 0.8 or more on 5-word shingles, the smallest id stays."""
+    gone = stored(near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated 20-word windows go; a text with none of them stays as it is."""
-    cut = dedup_substrings(docs, k=20)
+    """Words of 20-word windows that start earlier elsewhere go; a text without any stays as it is, an emptied one goes."""
+    cut = dedup_substrings(docs.select(*COLUMNS), k=20)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    left = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    size = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    left = cut.where("n_removed = 0 or n_removed < n_words")
+    return left.withColumn("text", text).withColumn("n_chars", size).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a 10-word window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = stored(contamination(docs, benchmark, n=10).where("n_hit > 0").select("doc_id", "h"), "contaminated")
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    return keyed.join(hit.distinct(), keyed["doc_id"].eqNullSafe(hit["doc_id"]) & (keyed["h"] == hit["h"]), "left_anti").select(*COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, decoded again as a check."""
+    import public_tokenizers
+
+    return encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
+#: Near-duplicate components and the classifier are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read by the next."""
+    """All stages over ``documents``; each result is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -280,22 +280,27 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids") -> DataFram
     return tokens.mapInArrow(lambda it: _decode(it, ids_col, model_path), tx.schema_with(tokens, "decoded string"))
 
 
-def _summary(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _summary(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in tx.text_slices(batches, "text", SLICE_BYTES):
         ids, off = encode_column(batch.column("text"), path)
         raw = memoryview(ids.astype("<u4").tobytes())
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         texts = decode_column(ids, off, path)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(crc, pa.int64()), pa.array(texts, pa.string()), batch.column("text")], ["doc_id", "n_tokens", "ids_crc32", "decoded", "text"])
+        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(off), pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "decoded": pa.array(texts, pa.string()), "text": batch.column("text")}
+        if with_ids:
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        yield pa.RecordBatch.from_pydict(columns)
 
 
-def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip)`` of every document.
+def encode_and_decode(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip)`` of every document, and ``ids`` if asked.
 
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers;
     ``round_trip`` is true where the ids decode to the text (a null text to "").
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    done = slim.mapInArrow(lambda it: _summary(it, model_path), "doc_id long, n_tokens long, ids_crc32 long, decoded string, text string")
+    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded string, text string" + ", ids array<int>" * with_ids
+    done = slim.mapInArrow(lambda it: _summary(it, model_path, with_ids), schema)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return done.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+    out = ["doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip")]
+    return done.select(*out, *["ids"] * with_ids)
