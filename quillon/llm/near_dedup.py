@@ -13,14 +13,16 @@ Banding.  Equal sets are merged into classes first, by a 128-bit digest and the
 size.  Classes that agree on all rows of a band are candidates.  With 40 bands of 6
 rows, a pair of similarity 0.8 is missed with probability 5e-6.
 
-Verification.  No bucket is expanded into all its pairs.  In a round every bucket
-compares one pivot (the class that shares most buckets, the smallest id on a tie)
-with its members, on full sets; components follow from the links found.  Members
-of one component need no further comparison, so groups of copies, however large,
-are done after the first rounds.  What remains are members of different
-components; as soon as these pairs, counted exactly, are no more than the bucket
-rows, all of them are compared, else the next pivots follow.  Thus every candidate
-pair is either connected or refuted.
+Verification.  No bucket is expanded into all its pairs.  Every bucket compares one
+pivot (the class that shares most buckets, the smallest id on a tie) with its
+members, on full sets; components follow from the links found.  Two candidates that
+are not the pivot were both compared with the pivot of a bucket they share.  So what
+is left to compare are members of different components in the group of one pivot.
+The members outside of the group's largest component are dealt into chunks of
+bounded size, and each chunk is compared with all others by a product of
+token matrices in one task, which returns links only.  Every candidate pair is thus
+connected or refuted; groups of copies, which are one component after the first
+step, need no second.
 
 Defined cases.  A null or blank text has an empty set and is linked with nothing.
 A text of fewer words than a shingle is one shingle, its whole word sequence.  A
@@ -42,6 +44,8 @@ from . import textops as tx
 from .components import smallest_reachable
 
 SLICE_BYTES = 6 << 20
+#: Sets, and shingles in them, that a chunk of a group holds.
+CHUNK_ROWS, CHUNK_TOKENS = 1024, 500_000
 _U32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -141,6 +145,67 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b").distinct()
 
 
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the two chunks of a block, or within its one chunk, across components."""
+    table = table.combine_chunks()
+    rep, part, component = (table.column(c).to_numpy() for c in ("rep", "c", "component"))
+    low = np.flatnonzero(part == table.column("i")[0].as_py())
+    high = np.flatnonzero(part == table.column("j")[0].as_py())
+    lists = table.column("shingles")
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    _, token, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often > 1)  # a token of one set alone is in no intersection
+    place = np.full(len(often), -1)
+    place[shared] = np.arange(len(shared))
+    token = place[token]
+    row, token = row[token >= 0], token[token >= 0]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    both = np.zeros((len(low), len(high)), np.float32)
+    for at in range(0, len(shared), 4096):
+        lo, hi = np.searchsorted(token, [at, at + 4096])
+        x = np.zeros((len(size), min(4096, len(shared) - at)), np.float32)
+        x[row[lo:hi], token[lo:hi] - at] = 1
+        both += x[low] @ x[high].T
+    both = both.astype(np.int64)
+    similar = 100 * both >= percent * (size[low][:, None] + size[high][None, :] - both)
+    similar &= component[low][:, None] != component[high][None, :]
+    a, b = np.nonzero(similar)
+    a, b = rep[low[a]], rep[high[b]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _rest(compared: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components in one pivot's group."""
+    sized = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"))
+    rows = compared.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sized, "rep")
+    rows = stored(rows, "group-rows")
+    count = [F.count("*").alias("k"), F.sum("n").alias("total")]
+    by_part = rows.groupBy("pivot", "component").agg(*count)
+    # the largest component of each group, and the rest's size
+    groups = by_part.groupBy("pivot").agg(F.max(F.struct("k", "total", "component")).alias("most"), F.sum("k").alias("k"), F.sum("total").alias("total"), F.count("*").alias("parts"))
+    chunks = lambda k, total: F.ceil(F.greatest(k / CHUNK_ROWS, total / CHUNK_TOKENS)).cast("int")
+    groups = groups.where("parts > 1").select(
+        "pivot",
+        F.col("most.component").alias("main"),
+        chunks(F.col("k") - F.col("most.k"), F.col("total") - F.col("most.total")).alias("x"),
+        chunks(F.col("most.k"), F.col("most.total")).alias("y"),
+    )
+    rows = rows.join(stored(groups, "open-groups"), "pivot")
+    spread = F.xxhash64("rep", F.lit(3))
+    chunk = F.when(F.col("component") == F.col("main"), F.col("x") + F.pmod(spread, "y")).otherwise(F.pmod(spread, "x")).cast("int")
+    rows = rows.withColumn("c", chunk)
+    # a chunk i of the rest meets every chunk j >= i
+    first = F.transform(F.sequence(F.lit(0), F.least(F.col("c"), F.col("x") - 1)), lambda i: F.struct(i.alias("i"), F.col("c").alias("j")))
+    later = F.when((F.col("c") < F.col("x")) & (F.col("c") + 1 < F.col("x") + F.col("y")), F.sequence(F.col("c") + 1, F.col("x") + F.col("y") - 1)).otherwise(F.array().cast("array<int>"))
+    later = F.transform(later, lambda j: F.struct(F.col("c").alias("i"), j.alias("j")))
+    blocks = rows.select("pivot", "rep", "component", "c", F.explode(F.concat(first, later)).alias("block")).select("*", "block.i", "block.j").drop("block")
+    full = blocks.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    return full.groupBy("pivot", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -166,40 +231,17 @@ def near_duplicates(
     # rows that share an id make their classes one
     owner = usable.select("doc_id", "d1", "d2", "n_shingles").join(classes.drop("bands"), ["d1", "d2", "n_shingles"])
     links = stored(owner.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"), "shared-ids")
-    tried: DataFrame | None = None
-    while True:
-        pivot = stored(live.groupBy("key").agg(F.min(F.struct("w", "rep")).alias("p")), "pivots")
-        now = live.join(pivot, "key").select("key", F.col("p.rep").alias("pivot"), "rep", "w")
-        pairs = now.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        tried, fresh = _new_pairs(tried, pairs)
-        links = stored(links.unionByName(_links(fresh, sets, percent)), "links")
-        label = stored(smallest_reachable(links), "labels")
-        # what is left of each bucket: no pivot of before, and members of several components
-        rest = now.where("rep <> pivot").select("key", "rep", "w").join(label.withColumnRenamed("vertex", "rep"), "rep", "left")
-        rest = stored(rest.select("key", "rep", "w", F.coalesce("component", "rep").alias("c")), "rest")
-        parts = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("parts")).where("parts > 1")
-        parts = stored(parts, "open-keys")
-        count = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()
-        if not count[0]:
-            break
-        live = stored(rest.join(parts.select("key"), "key", "left_semi"), "open-rows")
-        if count[1] <= 20 * count[0]:
-            x, y = (live.select("key", F.col("rep").alias(r), F.col("c").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-            pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-            tried, fresh = _new_pairs(tried, pairs)
-            links = stored(links.unionByName(_links(fresh, sets, percent)), "links")
-            label = stored(smallest_reachable(links), "labels")
-            break
-        live = live.drop("c")
+    pivot = stored(live.groupBy("key").agg(F.min(F.struct("w", "rep")).alias("p")), "pivots")
+    compared = stored(live.join(pivot, "key").select(F.col("p.rep").alias("pivot"), "rep").where("rep <> pivot").distinct(), "compared")
+    pairs = compared.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    links = stored(links.unionByName(_links(pairs, sets, percent)), "links")
+    label = stored(smallest_reachable(links), "labels")
+    more = stored(_rest(compared, label, sets, percent), "more-links")
+    if not more.isEmpty():
+        label = stored(smallest_reachable(links.unionByName(more)), "labels")
 
     named = stored(classes.drop("bands").join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("c")), "class-labels")
     out = signed.drop("bands").join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _new_pairs(tried: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs not compared before, and all pairs with them."""
-    fresh = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return (fresh if tried is None else tried.unionByName(fresh)), fresh
