@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, warc
+from . import chat_rotation, oracles, warc
 from .decontaminate import contamination
 from .html_tree import main_text
 from .huffman import token_files
@@ -30,14 +30,14 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition counts and verdicts from suffix arrays, for every document."""
     ruled = repetition_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return ruled.drop("text")
+    return ruled.drop("text", "n_maximal_repeats", "longest_repeat", "covered_fraction")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words found in every document."""
     found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=10)
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near"
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
@@ -98,4 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_rotation": chat_rotation.SQL,
+    "op2_suffix_repetition": oracles.repetition(),
+    "op3_decontaminate": oracles.CONTAMINATION,
+    "op5_near_dedup": oracles.NEAR_DUPLICATES,
+    "op7_substring_dedup": oracles.SUBSTRINGS,
 }
