@@ -34,6 +34,8 @@ from . import textops as tx
 SLICE_BYTES = 4 << 20
 BUCKETS = 1 << 12
 STATS = 14
+#: Small samples are gone through more often, up to so many batches.
+MIN_STEPS = 240
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 _CAPITAL = np.zeros(256, bool)
@@ -145,7 +147,9 @@ def fit(at: np.ndarray, index: np.ndarray, value: np.ndarray, stats: np.ndarray,
     theta[:, 1:] = rng.normal(0, 0.02, (size, factors))
     m, s, bias, step = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0
     off = np.searchsorted(at, np.arange(len(label) + 1))
-    for epoch in range(epochs):
+    per_epoch = -(-len(label) // 64)
+    epochs = max(epochs, -(-MIN_STEPS // per_epoch))
+    for _ in range(epochs):
         order = rng.permutation(len(label))
         for lo in range(0, len(order), 64):
             rows = order[lo : lo + 64]
@@ -167,7 +171,7 @@ def fit(at: np.ndarray, index: np.ndarray, value: np.ndarray, stats: np.ndarray,
             step += 1
             m += 0.1 * (grad - m)
             s += 0.01 * (grad**2 - s)
-            rate = 0.02 / (1 + epoch)
+            rate = 0.02 * (1 - (step - 1) / (epochs * per_epoch))
             theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
             bias -= rate * 5 * g.sum()
     return Machine(float(bias), theta[:, 0].copy(), theta[:, 1:].copy(), mean, scale)
