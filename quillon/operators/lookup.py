@@ -32,6 +32,7 @@ def valid_only(requests: DataFrame, valid: DataFrame, code: str = "code") -> Dat
 
 
 def coupon_response(status: Column, code: Column, percent: Column) -> Column:
-    """The answer as JSON; ``discountPercent`` is left out unless valid, and all of it if unavailable."""
-    body = F.to_json(F.struct(code.alias("code"), (status == "valid").alias("valid"), F.when(status == "valid", percent).alias("discountPercent")))
+    """The answer as JSON; ``discountPercent`` is left out if not valid or 0, and all of it if unavailable."""
+    shown = F.when((status == "valid") & (percent != 0), percent)
+    body = F.to_json(F.struct(code.alias("couponCode"), (status == "valid").alias("valid"), shown.alias("discountPercent")))
     return F.when(status != "unavailable", body)

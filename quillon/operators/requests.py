@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,7 +71,7 @@ _ORDER_FIELDS = {"couponCode": (str, "string"), "items": (list, "[]order.Item")}
 _ITEM_FIELDS = {"productId": (str, "string"), "quantity": (int, "int")}
 
 
-def _body_problem(body: str | None) -> str | None:
+def _body_problem(body: str | None, fields: dict = _ORDER_FIELDS) -> str | None:
     if body is None or not body.strip():
         return "body must not be empty"
     if len(body.encode()) > MAX_BODY:
@@ -103,7 +104,7 @@ def _body_problem(body: str | None) -> str | None:
                         return found
         return None
 
-    found = wrong(_ORDER_FIELDS, value, "")
+    found = wrong(fields, value, "")
     if found:
         return found
     if text[end:].strip():
@@ -111,19 +112,24 @@ def _body_problem(body: str | None) -> str | None:
     return None
 
 
-def _body_problems(body: pd.Series) -> pd.Series:
+def _order_problems(body: pd.Series) -> pd.Series:
     return body.map(_body_problem, na_action=None)
 
 
-def order_body_problem(content_type: Column, body: Column) -> Column:
-    """Why an order body is refused, or null.
+def _coupon_problems(body: pd.Series) -> pd.Series:
+    fields = {"couponCode": _ORDER_FIELDS["couponCode"]}
+    return body.map(lambda b: _body_problem(b, fields), na_action=None)
+
+
+def _refused(content_type: Column, body: Column, problems: Callable) -> Column:
+    """Why a body is refused, or null.
 
     The media type must be JSON and the body one JSON object of the right types.
     Spark's parser coerces types and ignores what follows a value, so the strict
     part is a vectorised Python function.
     """
     wrong = F.coalesce(media_type(content_type) != "application/json", F.lit(True))
-    return F.when(wrong, F.lit("Content-Type must be application/json")).otherwise(F.pandas_udf(_body_problems, "string")(body))
+    return F.when(wrong, F.lit("Content-Type must be application/json")).otherwise(F.pandas_udf(problems, "string")(body))
 
 
 ORDER_SCHEMA = "couponCode string, items array<struct<productId:string,quantity:int>>"
@@ -131,6 +137,12 @@ ORDER_SCHEMA = "couponCode string, items array<struct<productId:string,quantity:
 
 def order_bodies(requests: DataFrame, content_type: str = "content_type", body: str = "body") -> DataFrame:
     """``requests`` with the decoded ``couponCode`` and ``items``, or the ``problem`` that answers 400."""
-    out = requests.withColumn("problem", order_body_problem(F.col(content_type), F.col(body)))
+    out = requests.withColumn("problem", _refused(F.col(content_type), F.col(body), _order_problems))
     decoded = F.when(F.col("problem").isNull(), F.from_json(F.col(body), ORDER_SCHEMA))
     return out.withColumn("_order", decoded).withColumn("couponCode", F.col("_order.couponCode")).withColumn("items", F.col("_order.items")).drop("_order")
+
+
+def coupon_bodies(requests: DataFrame, content_type: str = "content_type", body: str = "body") -> DataFrame:
+    """``requests`` with the decoded ``couponCode``, or the ``problem`` that answers 400."""
+    out = requests.withColumn("problem", _refused(F.col(content_type), F.col(body), _coupon_problems))
+    return out.withColumn("couponCode", F.when(F.col("problem").isNull(), F.from_json(F.col(body), "couponCode string")["couponCode"]))

@@ -50,7 +50,7 @@ def rate_limit(requests: DataFrame, limit: int, window_us: int, client: str = "c
         passed = tokens >= window_us
         return passed, (tokens - window_us * passed, t)
 
-    rows = requests.select(F.col(ident).alias("id"), F.col(client).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.lit(0).alias("kind"))
+    rows = requests.select(F.col(ident).cast("long").alias("id"), F.col(client).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.lit(0).alias("kind"))
     return _ordered_fold(rows, start, step)
 
 
@@ -71,5 +71,5 @@ def cached_answers(requests: DataFrame, ttl_us: int, negative_ttl_us: int, key:
         ttl = ttl_us if kind else negative_ttl_us
         return False, t + ttl if ttl > 0 else None
 
-    rows = requests.select(F.col(ident).alias("id"), F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(valid).cast("int").alias("kind"))
+    rows = requests.select(F.col(ident).cast("long").alias("id"), F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(valid).cast("int").alias("kind"))
     return _ordered_fold(rows, start, step)

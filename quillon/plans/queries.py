@@ -89,7 +89,7 @@ _ASKED = "asked AS (SELECT c_custkey, substr(md5(CAST(c_custkey AS VARCHAR)), 1,
 
 
 @query(f"""WITH {fx.VALID}, {_ASKED} SELECT c_custkey, code, CASE WHEN v.code IS NULL THEN 'invalid' ELSE 'valid' END AS status, CASE WHEN v.code IS NOT NULL THEN 10 END AS discount_percent,
-  '{{"code":"' || code || CASE WHEN v.code IS NULL THEN '","valid":false}}' ELSE '","valid":true,"discountPercent":10}}' END AS body FROM asked LEFT JOIN valid v USING (code)""")
+  '{{"couponCode":"' || code || CASE WHEN v.code IS NULL THEN '","valid":false}}' ELSE '","valid":true,"discountPercent":10}}' END AS body FROM asked LEFT JOIN valid v USING (code)""")
 def coupon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's code against the valid set, with the answer's body."""
     valid = threshold.in_at_least(fx.coded_lines(spark, sf_dir), "code", "src", 2, 3, codes.well_formed(F.col("code")))

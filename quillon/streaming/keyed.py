@@ -33,7 +33,7 @@ def _stream_fold(rows: DataFrame, state_schema: str, start: Callable, step: Call
 
 
 def _rows(requests: DataFrame, key: str, at: str, ident: str, kind) -> DataFrame:
-    return requests.select(F.col(ident).alias("id"), F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), kind.alias("kind"))
+    return requests.select(F.col(ident).cast("long").alias("id"), F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), kind.alias("kind"))
 
 
 def stream_rate_limit(requests: DataFrame, limit: int, window_us: int, client: str = "client", at: str = "ts", ident: str = "id") -> DataFrame:

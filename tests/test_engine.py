@@ -57,7 +57,7 @@ def test_lookup_outcomes(spark):
     valid = spark.createDataFrame([("HAPPYHRS",)], "code string")
     out = lookup.coupon_outcomes(asked, valid).withColumn("b", lookup.coupon_response(F.col("status"), F.col("code"), F.col("discount_percent"))).collect()
     assert sorted(r["status"] for r in out) == ["invalid"] * 3 + ["valid"]
-    assert [json.loads(r["b"]) for r in out if r["code"] == "HAPPYHRS"] == [{"code": "HAPPYHRS", "valid": True, "discountPercent": 10}]
+    assert [json.loads(r["b"]) for r in out if r["code"] == "HAPPYHRS"] == [{"couponCode": "HAPPYHRS", "valid": True, "discountPercent": 10}]
 
 
 def test_bodies(spark):
