@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +49,50 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when this process ends."""
+    """A fresh path in the shared folder, removed with the scratch block it is made in or when this process ends."""
     path = f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
+    if scopes := getattr(_scopes, "open", None):
+        scopes[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Remove the tables written in a block at its end."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    made: list[str] = []
+    _scopes.open.append(made)
+    try:
+        yield
+    finally:
+        _scopes.open.pop()
+        for path in made:
+            with contextlib.suppress(Exception):
+                delete(_written.pop(path), path)
+
+
+def settled(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Store what a function returns and remove all other tables that it wrote."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(*args, **kwargs) -> DataFrame:
+            with scratch():
+                out = f(*args, **kwargs)
+                inside = _scopes.open.pop()  # the result outlives the block
+                try:
+                    result = stored(out, name)
+                finally:
+                    _scopes.open.append(inside)
+            return result
+
+        return run
+
+    return wrap
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path through Spark's own file system layer."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -72,7 +113,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         with contextlib.suppress(Exception):
             delete(spark, path)
     if "dir" in _own:
