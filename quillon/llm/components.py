@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import settled, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,6 +17,7 @@ def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(stored(least, "least"), "u")
 
 
+@settled("components")
 def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of non-null longs to ``(vertex, component)``, the smallest vertex reachable.
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import settled, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: all ASCII but digits and letters.
@@ -109,6 +109,7 @@ def _matches(index: DataFrame, found: DataFrame, items: DataFrame, n: int) -> Da
     return both.select("doc_id", "h", "item_id", covered.alias("covered"))
 
 
+@settled("contamination")
 def contamination(
     docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:

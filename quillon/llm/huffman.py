@@ -29,10 +29,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, stored
+from ..storage import new_path, scratch, stored
 from . import textops as tx
 from .wordcache import WordCache
 
@@ -41,7 +41,7 @@ SLICE_BYTES = 3 << 20
 BLOCK_TOKENS = 1 << 19
 STEP = 512
 LIMIT = 18
-_BLOCK = "part int, seq int, doc_ids array<long>, sizes array<int>, n long, ids binary"
+_BLOCK = "part int, seq int, within long, doc_ids array<long>, sizes array<int>, n long, ids binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -153,15 +153,16 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         _caches.clear()
         _caches[path] = WordCache(hf_words(path))
     cache, part, seq = _caches[path], TaskContext.get().partitionId(), 0
+    within = 0  # tokens of this part before the block
     docs: list = []
     sizes: list[np.ndarray] = []
     ids: list[np.ndarray] = []
 
     def block() -> pa.RecordBatch:
         size = np.concatenate(sizes)
-        columns = [[part], [seq], [docs], [size], [int(size.sum())], [np.concatenate(ids).tobytes()]]
-        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "doc_ids", "sizes", "n", "ids"])
+        columns = [[part], [seq], [within], [docs], [size], [int(size.sum())], [np.concatenate(ids).tobytes()]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "within", "doc_ids", "sizes", "n", "ids"])
 
     for batch in tx.text_slices(batches, "text", SLICE_BYTES):
         words = tx.Words(batch.column("text"))
@@ -174,7 +175,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         ids.append(out)
         if sum(map(len, ids)) >= BLOCK_TOKENS:
             yield block()
-            seq += 1
+            seq, within = seq + 1, within + sum(map(len, ids))
             docs, sizes, ids = [], [], []
     if docs:
         yield block()
@@ -189,44 +190,41 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], ids: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], ids: np.ndarray, bits: np.ndarray, before: dict[int, int]) -> Iterator[pa.RecordBatch]:
     if not len(ids):
         return
     code, length = canonical(ids, bits)
+    same = ["part", "seq", "doc_ids", "sizes", "n"]
     for batch in batches:
         coded = [encode_bits(np.frombuffer(raw.as_buffer(), np.uint16), code, length) for raw in batch.column("ids")]
-        names = [x for x in batch.schema.names if x != "ids"]
-        extra = [pa.array([c[1] for c in coded], pa.list_(pa.int64())), pa.array([c[0] for c in coded], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *extra], [*names, "checkpoints", "payload"])
+        start = [before[p] + w for p, w in zip(batch.column("part").to_pylist(), batch.column("within").to_pylist(), strict=True)]
+        extra = [pa.array(start, pa.int64()), pa.array([c[1] for c in coded], pa.list_(pa.int64())), pa.array([c[0] for c in coded], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in same), *extra], [*same, "start", "checkpoints", "payload"])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise ``docs`` and write the two tables of the format below ``path``."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
-    dealt = slim.repartitionByRange(partitions, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    blocks = stored(dealt.mapInArrow(lambda it: _tokenise(it, tokenizer, end_id), _BLOCK), "token-blocks")
-
-    counts = blocks.select("ids").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
-    ids = np.array([r["id"] for r in counts], np.int64)
-    bits = code_lengths(np.array([r["n"] for r in counts], np.int64))
-    book = pa.table({"id": pa.array(ids, pa.int32()), "bits": pa.array(bits, pa.int32())})
-    spark.createDataFrame(book).coalesce(1).write.parquet(f"{path}/codebook")
-
-    # tokens before each block: parts are few (one per partition), blocks of a part are summed in a window
-    parts = blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    before, total = {}, 0
-    for r in parts:
-        before[r["part"]] = total
-        total += r["n"]
-    schema = "part int, before long"
-    offsets = F.broadcast(spark.createDataFrame(list(before.items()), schema))  # a row per partition
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("seq")) - F.col("n")
-    starts = blocks.select("part", "seq", "n").withColumn("w", within).join(offsets, "part").select("part", "seq", (F.col("w") + F.col("before")).alias("start"))
-    coded = blocks.mapInArrow(lambda it: _encode(it, ids, bits), "part int, seq int, doc_ids array<long>, sizes array<int>, n long, checkpoints array<long>, payload binary")
-    coded.join(starts, ["part", "seq"]).sortWithinPartitions("part", "seq").write.parquet(f"{path}/blocks")
+    with scratch():
+        spark = docs.sparkSession
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        tie = F.xxhash64("text")
+        dealt = slim.repartitionByRange(partitions, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+        blocks = stored(dealt.mapInArrow(lambda it: _tokenise(it, tokenizer, end_id), _BLOCK), "token-blocks")
+
+        counts = blocks.select("ids").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+        ids = np.array([r["id"] for r in counts], np.int64)
+        bits = code_lengths(np.array([r["n"] for r in counts], np.int64))
+        book = pa.table({"id": pa.array(ids, pa.int32()), "bits": pa.array(bits, pa.int32())})
+        spark.createDataFrame(book).coalesce(1).write.parquet(f"{path}/codebook")
+
+        # tokens before each part: a number per partition
+        before, total = {}, 0
+        for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+            before[r["part"]] = total
+            total += r["n"]
+        coded = blocks.mapInArrow(lambda it: _encode(it, ids, bits, before), "part int, seq int, doc_ids array<long>, sizes array<int>, n long, start long, checkpoints array<long>, payload binary")
+        coded.write.parquet(f"{path}/blocks")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], ids: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:

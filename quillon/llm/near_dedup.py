@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import settled, stored
 from . import textops as tx
 from .components import smallest_reachable
 
@@ -206,6 +206,7 @@ def _rest(compared: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     return full.groupBy("pivot", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct()
 
 
+@settled("near-duplicates")
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -235,10 +236,10 @@ def near_duplicates(
     compared = stored(live.join(pivot, "key").select(F.col("p.rep").alias("pivot"), "rep").where("rep <> pivot").distinct(), "compared")
     pairs = compared.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     links = stored(links.unionByName(_links(pairs, sets, percent)), "links")
-    label = stored(smallest_reachable(links), "labels")
+    label = smallest_reachable(links)
     more = stored(_rest(compared, label, sets, percent), "more-links")
     if not more.isEmpty():
-        label = stored(smallest_reachable(links.unionByName(more)), "labels")
+        label = smallest_reachable(links.unionByName(more))
 
     named = stored(classes.drop("bands").join(label.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("c")), "class-labels")
     out = signed.drop("bands").join(named, ["d1", "d2", "n_shingles"], "left")
