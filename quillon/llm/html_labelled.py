@@ -63,7 +63,7 @@ class _Page:
             self._keep(r.choice(("h1", "h1", "h2")), self.words(2, 9))
         long = r.random() < 0.2  # some articles are many short blocks
         shortest, longest = r.choice(((2, 70), (1, 6), (1, 20))) if long else r.choice(((2, 70), (2, 70), (1, 9)))
-        for _ in range(r.choice((30, 60, 300)) if long else r.randint(1, 9)):
+        for _ in range(r.choice((20, 30, 50, 100, 300, 600)) if long else r.randint(1, 9)):
             kind = r.random()
             inner = self.words(shortest, longest)
             if kind < 0.62:
