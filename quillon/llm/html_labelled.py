@@ -9,6 +9,7 @@ of pages is a parameter; the same seed gives the same pages.
 
 from __future__ import annotations
 
+import itertools
 import random
 
 #: Names that layouts give to what isn't main text, each with its usual tags.
@@ -23,6 +24,9 @@ CHROME = {
 #: How layouts mark the element that holds the article.
 ARTICLES = (("article", ""), ("article", "post"), ("main", ""), ("main", "content"), ("div", "content"), ("div", "article-body"), ("div", "post"), ("div", "entry-content"), ("div", "story"), ("section", "main-text"), ("div", "main"), ("div", "text"))
 
+_SYLLABLES = ("ba", "ko", "ri", "tes", "un", "la", "mor", "en")
+WORDS = [*_SYLLABLES, *("".join(p) for n in (2, 3) for p in itertools.product(_SYLLABLES, repeat=n))]
+
 
 class _Page:
     def __init__(self, rng: random.Random):
@@ -30,8 +34,7 @@ class _Page:
 
     def words(self, low: int, high: int) -> str:
         r = self.rng
-        n = r.randint(low, high)
-        text = " ".join("".join(r.choice(("ba", "ko", "ri", "tes", "un", "la", "mor", "en")) for _ in range(r.randint(1, 4))) for _ in range(n))
+        text = " ".join(r.choices(WORDS, k=r.randint(low, high)))
         return text.capitalize() + r.choice((".", ".", "", "!"))
 
     def _keep(self, tag: str, inner: str, names: str = "") -> None:

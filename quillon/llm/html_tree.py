@@ -152,8 +152,6 @@ def parse(source: str) -> Tree:
         push(name, m[3])
         if name in RAW and not m[3].endswith("/"):
             last = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            if name in ("title", "textarea"):
-                pass
             at = last.end() if last else end
             del stack[-1:]
     return tree
@@ -236,27 +234,31 @@ def marginals(model: TreeModel, a: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def train(pages: int = 160, steps: int = 80, seed: int = 11) -> TreeModel:
-    """Maximum likelihood by Adam over all labelled pages at once."""
-    a = _arrays([parse(p) for p in labelled_pages(pages, seed)])
-    y = a["main"].astype(float)
+def train(pages: int = 600, epochs: int = 20, seed: int = 11, batch: int = 100) -> TreeModel:
+    """Maximum likelihood by Adam over the labelled pages, ``batch`` of them a step."""
+    made = labelled_pages(pages, seed)
+    parts = []
+    for at in range(0, pages, batch):
+        a = _arrays([parse(p) for p in made[at : at + batch]])
+        y, inner = a["main"].astype(float), np.flatnonzero(a["parent"] >= 0)
+        seen = np.zeros((_KINDS, 2, 2))
+        np.add.at(seen, (a["kind"][inner], y[a["parent"][inner]].astype(int), y[inner].astype(int)), 1)
+        parts.append((a, inner, a["x"].T @ y, seen))
     model = TreeModel(np.zeros(FEATURES), np.zeros((_KINDS, 2, 2)))
-    inner = np.flatnonzero(a["parent"] >= 0)
-    seen_edge = np.zeros((_KINDS, 2, 2))
-    np.add.at(seen_edge, (a["kind"][inner], y[a["parent"][inner]].astype(int), y[inner].astype(int)), 1)
-    seen_node = a["x"].T @ y
-    moments = [np.zeros(FEATURES), np.zeros(FEATURES), np.zeros_like(seen_edge), np.zeros_like(seen_edge)]
+    moments = [np.zeros_like(w) for w in (model.node, model.node, model.edge, model.edge)]
+    steps = epochs * len(parts)
     for step in range(1, steps + 1):
+        a, inner, seen_node, seen_edge = parts[step % len(parts)]
         p, pair = marginals(model, a)
         expected = np.zeros_like(seen_edge)
         for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
             expected[:, i, j] = np.bincount(a["kind"][inner], pair[inner, i, j], _KINDS)
-        grads = (seen_node - a["x"].T @ p) / pages - 0.003 * model.node, (seen_edge - expected) / pages - 0.003 * model.edge
+        grads = (seen_node - a["x"].T @ p) / batch - 0.001 * model.node, (seen_edge - expected) / batch - 0.001 * model.edge
         for i, (g, w) in enumerate(zip(grads, (model.node, model.edge), strict=True)):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            w += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            w += 0.15 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return model
 
 
@@ -290,4 +292,4 @@ def _extract(batches: Iterator[pa.RecordBatch], model: TreeModel) -> Iterator[pa
 def main_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page."""
     model = model or train()
-    return pages.select("page_id", "url", "html").mapInArrow(lambda it: _extract(it, model), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lambda it: tx.lean(_extract(it, model)), "page_id long, url string, text string, n_chars long")
