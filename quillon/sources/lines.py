@@ -26,6 +26,17 @@ def list_files(folder: str) -> dict[str, tuple[int, int]]:
     return found
 
 
+def _checked(paths: list[str]) -> None:
+    for path in paths:
+        if os.path.basename(path).startswith("_"):
+            raise ValueError(f"{path}: Spark's readers skip names that start with an underscore")
+
+
+def _codes(lines: DataFrame, *more: str) -> DataFrame:
+    kept = lines.where(F.octet_length("value") < MAX_LINE)
+    return kept.select(F.regexp_replace("value", r"\r\z", "").alias("code"), *more)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``code``: the lines of a text or gzip file.
 
@@ -33,18 +44,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     name starts with an underscore is invisible to Spark's readers and is refused
     here rather than read as empty.
     """
-    if os.path.basename(path).startswith("_"):
-        raise ValueError(f"{path}: Spark's readers skip names that start with an underscore")
-    lines = spark.read.option("lineSep", "\n").text(path)
-    kept = lines.where(F.octet_length("value") < MAX_LINE)
-    return kept.select(F.regexp_replace("value", r"\r\z", "").alias("code"))
+    _checked([path])
+    return _codes(spark.read.option("lineSep", "\n").text(path))
 
 
 def read_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(code, src)``: the lines of all files, numbered by position, so a path listed twice is two sources.
+    """``(code, src)``: the lines of all files.
 
-    A missing or damaged file fails the scan as a whole.
+    Files are numbered by position, so a path listed twice is two sources.  Beyond
+    the sources that fit a bit mask, distinct paths are one scan, and a line's source
+    is its file's path.  A missing or damaged file fails the scan as a whole.
     """
+    _checked(paths)
+    if len(paths) > 63 and len(set(paths)) == len(paths):
+        lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("src"))
+        return _codes(lines, "src")
     out = spark.createDataFrame([], "code string, src int")
     for i, path in enumerate(paths):
         out = out.unionByName(read_lines(spark, path).withColumn("src", F.lit(i)))

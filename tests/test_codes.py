@@ -59,6 +59,18 @@ def test_no_files_is_no_codes_and_a_path_twice_is_two_sources(spark, tmp_path):
         read_sources(spark, [str(tmp_path / "none.txt")]).collect()
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    paths = []
+    for i in range(70):
+        p = tmp_path / f"f {i}.txt"
+        p.write_text("HAPPYHRS\n" * (i % 3) + f"ONLY{i:04d}\n")
+        paths.append(str(p))
+    lines = read_sources(spark, paths)
+    assert [r[0] for r in threshold.valid_codes(lines, 40, len(paths)).collect()] == ["HAPPYHRS"]
+    assert threshold.source_counts(lines, "code", "src").where("code = 'HAPPYHRS'").first()["n_sources"] == 46
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_threshold_against_counts(spark, seed):
     rng = random.Random(seed)
