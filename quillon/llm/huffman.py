@@ -36,7 +36,7 @@ from ..storage import new_path, scratch, stored
 from . import textops as tx
 from .wordcache import WordCache
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: A document starts no new block while its block has fewer tokens.
 BLOCK_TOKENS = 1 << 19
 STEP = 512
@@ -210,7 +210,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         tie = F.xxhash64("text")
         dealt = slim.repartitionByRange(partitions, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-        blocks = stored(dealt.mapInArrow(lambda it: _tokenise(it, tokenizer, end_id), _BLOCK), "token-blocks")
+        blocks = stored(dealt.mapInArrow(lambda it: tx.lean(_tokenise(it, tokenizer, end_id)), _BLOCK), "token-blocks")
 
         counts = blocks.select("ids").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
         ids = np.array([r["id"] for r in counts], np.int64)
@@ -223,7 +223,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
             before[r["part"]] = total
             total += r["n"]
-        coded = blocks.mapInArrow(lambda it: _encode(it, ids, bits, before), "part int, seq int, doc_ids array<long>, sizes array<int>, n long, start long, checkpoints array<long>, payload binary")
+        coded = blocks.mapInArrow(lambda it: tx.lean(_encode(it, ids, bits, before)), "part int, seq int, doc_ids array<long>, sizes array<int>, n long, start long, checkpoints array<long>, payload binary")
         coded.write.parquet(f"{path}/blocks")
 
 
@@ -251,9 +251,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     blocks = spark.read.parquet(f"{path}/blocks")
     if with_ids:
-        return blocks.mapInArrow(lambda it: _decode(it, ids, bits), schema)
+        return blocks.mapInArrow(lambda it: tx.lean(_decode(it, ids, bits)), schema)
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-    return blocks.mapInArrow(lambda it: (b.select(names) for b in _decode(it, ids, bits)), schema.rpartition(",")[0])
+    return blocks.mapInArrow(lambda it: tx.lean(b.select(names) for b in _decode(it, ids, bits)), schema.rpartition(",")[0])
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

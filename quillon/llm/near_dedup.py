@@ -43,7 +43,7 @@ from ..storage import settled, stored
 from . import textops as tx
 from .components import smallest_reachable
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Sets, and shingles in them, that a chunk of a group holds.
 CHUNK_ROWS, CHUNK_TOKENS = 1024, 500_000
 _U32 = np.uint64(32)
@@ -129,7 +129,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in tx.text_slices(batches, "text", SLICE_BYTES // 2):
+    for batch in tx.text_slices(batches, "text", SLICE_BYTES):
         found, off = shingle_sets(batch.column("text"), size)
         lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(found.astype(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])
@@ -216,7 +216,7 @@ def near_duplicates(
     component's smallest id is kept.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(slim.mapInArrow(lambda it: _signatures(it, shingle, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+    signed = stored(slim.mapInArrow(lambda it: tx.lean(_signatures(it, shingle, bands, rows)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(usable.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("d1", "d2", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "classes")
 
@@ -227,7 +227,7 @@ def near_duplicates(
     live = stored(live.select("key", "rep").distinct().join(stored(weight, "weights"), "rep"), "weighted-rows")
 
     wanted = live.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(slim.join(stored(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, shingles array<long>"), "sets")
+    sets = stored(slim.join(stored(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(lambda it: tx.lean(_sets(it, shingle)), "doc_id long, shingles array<long>"), "sets")
 
     # rows that share an id make their classes one
     owner = usable.select("doc_id", "d1", "d2", "n_shingles").join(classes.drop("bands"), ["d1", "d2", "n_shingles"])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BUCKETS = 1 << 12
 STATS = 14
 #: Small samples are gone through more often, up to so many batches.
@@ -230,5 +230,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, l
     docs = docs.drop("held_out", "score", "predicted")
     known = labels.select("doc_id", F.col(label_col).alias("label")).where(~held_out(F.col("doc_id")))
     machine = train(docs, known, **training)
-    scored = docs.mapInArrow(lambda it: _score(it, machine, "text"), tx.schema_with(docs, "score double"))
+    scored = docs.mapInArrow(lambda it: tx.lean(_score(it, machine, "text")), tx.schema_with(docs, "score double"))
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_maximal_repeats", "repeat_chars", "longest_repeat")
@@ -198,7 +198,7 @@ def repetition_rules(
     """
     docs = docs.drop(*_FEATURES, "covered_fraction", "base_failed", "kept")
     schema = tx.schema_with(docs, ", ".join(f"{name} long" for name in _FEATURES))
-    counted = docs.mapInArrow(lambda it: _add(it, text_col, window, min_words), schema)
+    counted = docs.mapInArrow(lambda it: tx.lean(_add(it, text_col, window, min_words)), schema)
     failed = (F.col("n_words") < min_doc_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     share = F.when(F.col("word_chars") > 0, F.col("repeat_chars") / F.col("word_chars")).otherwise(F.lit(0.0))
     out = counted.withColumn("covered_fraction", share).withColumn("base_failed", failed)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .wordcache import WordCache
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 MARK = "▁"
 _UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _NORMAL, _UNKNOWN, _BYTE, _UNIGRAM, _BPE = 1, 2, 6, 1, 2
@@ -271,13 +271,13 @@ def _decode(batches: Iterator[pa.RecordBatch], column: str, path: str) -> Iterat
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``, an array of int."""
     docs = docs.drop("ids")
-    return docs.mapInArrow(lambda it: _encode(it, text_col, model_path), tx.schema_with(docs, "ids array<int>"))
+    return docs.mapInArrow(lambda it: tx.lean(_encode(it, text_col, model_path)), tx.schema_with(docs, "ids array<int>"))
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the text of its ids."""
     tokens = tokens.drop("decoded")
-    return tokens.mapInArrow(lambda it: _decode(it, ids_col, model_path), tx.schema_with(tokens, "decoded string"))
+    return tokens.mapInArrow(lambda it: tx.lean(_decode(it, ids_col, model_path)), tx.schema_with(tokens, "decoded string"))
 
 
 def _summary(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, with_ids: bool = False)
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded string, text string" + ", ids array<int>" * with_ids
-    done = slim.mapInArrow(lambda it: _summary(it, model_path, with_ids), schema)
+    done = slim.mapInArrow(lambda it: tx.lean(_summary(it, model_path, with_ids)), schema)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     out = ["doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip")]
     return done.select(*out, *["ids"] * with_ids)

@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from . import textops as tx
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: A packed string holds so many windows at most; a longer run is cut.
 MAX_RUN = 256
 #: Text bytes that a bucket sorts at once.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 _NULL_ID = -(1 << 63)
 _FIELDS = (("doc", np.int64), ("crc", np.uint32), ("start", np.int32), ("words", np.int32), ("size", np.int32), ("sub", np.uint8))
 _REPEATS = "doc_id long, crc long, start int, n int"
@@ -116,7 +116,7 @@ def _heavy_keys(docs: DataFrame, k: int, m: int, partitions: int) -> np.ndarray:
     Each is over half that share in enough slices, so what slices report suffices.
     """
     share = 1 / max(16, partitions)
-    found = docs.mapInArrow(lambda it: _heavy(it, k, m, share), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(lambda it: tx.lean(_heavy(it, k, m, share)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     # one job: the null key's row, which comes first, is the total
     top = found.orderBy(F.col("key").isNotNull(), F.desc("n"), "key").limit(4 * max(16, partitions) + 1).collect()
     if not top or top[0]["key"] is not None:
@@ -274,8 +274,8 @@ def repeated_windows(docs: DataFrame, k: int = 20, m: int = 4, id_col: str = "do
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot = _heavy_keys(slim, k, m, partitions)
-    sent = slim.mapInArrow(lambda it: _send(it, k, m, partitions, hot), "part int, done boolean, blob binary")
-    return sent.repartitionById(partitions, F.col("part")).mapInArrow(lambda it: _receive(it, k), _REPEATS)
+    sent = slim.mapInArrow(lambda it: tx.lean(_send(it, k, m, partitions, hot)), "part int, done boolean, blob binary")
+    return sent.repartitionById(partitions, F.col("part")).mapInArrow(lambda it: tx.lean(_receive(it, k)), _REPEATS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], k: int, column: str) -> Iterator[pa.RecordBatch]:
@@ -310,4 +310,4 @@ def dedup_substrings(docs: DataFrame, k: int = 20, m: int = 4, id_col: str = "do
     crc: Column = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.crc32(F.col(text_col).cast("binary")))
     joined = docs.join(by_doc, (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (crc == F.col("_crc")), "left").drop("_id", "_crc")
     schema = tx.schema_with(docs, "n_words long, n_removed long, kept_text string")
-    return joined.mapInArrow(lambda it: _cut(it, k, text_col), schema)
+    return joined.mapInArrow(lambda it: tx.lean(_cut(it, k, text_col)), schema)

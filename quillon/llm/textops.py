@@ -7,6 +7,8 @@ promise exact results compare bytes where hashes agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql.types import StructType
 U64 = np.uint64
 #: Random odd multipliers.
 _BASE = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93}
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: True for the separators space, \t, \n, \v, \f, \r.
@@ -62,6 +64,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass batches on; at the end, give memory that a waiting worker would keep back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about ``max_bytes`` of text; a longer row stands alone."""
     for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 VERSION = "WARC/1.1"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -156,7 +156,7 @@ def _responses(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.Reco
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """``(page_id, record)``: stored pages as response records. The capture date is a parameter."""
-    return pages.select("page_id", "url", "html").mapInArrow(lambda it: _responses(it, date), "page_id long, record binary")
+    return pages.select("page_id", "url", "html").mapInArrow(lambda it: tx.lean(_responses(it, date)), "page_id long, record binary")
 
 
 def _derivatives(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def derivatives(records: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> Dat
     """The derivative records of a ``record`` column, with the columns ``keys`` of their rows."""
     slim = records.select(*keys, "record")
     given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "record")
-    return slim.mapInArrow(lambda it: _derivatives(it, list(keys)), f"{given}, {_OUT}" if given else _OUT)
+    return slim.mapInArrow(lambda it: tx.lean(_derivatives(it, list(keys))), f"{given}, {_OUT}" if given else _OUT)
 
 
 def write_records(records: DataFrame, path: str) -> None:
