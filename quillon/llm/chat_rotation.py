@@ -42,22 +42,25 @@ def rotate(
         clean(speaker).alias("speaker"),
         clean(F.coalesce(F.col(text_col), F.lit(""))).alias("content"),
     )
-    people = base.where(F.col("speaker") != system).select("k", F.col("speaker").alias("perspective")).distinct()
-    rows = base.join(people, "k")
+    base = base.withColumn("length", F.char_length("content").cast("long"))
+    # turns without a number are the last block
+    base = base.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit((1 << 63) - 1)))
     role = F.when(F.col("speaker") == system, F.lit(system)).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
-    rows = rows.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
+    name = F.when(F.col("role") == "user", F.col("speaker"))
     head = F.concat(F.lit("<|"), F.col("role"), F.coalesce(F.concat(F.lit(" "), F.col("name")), F.lit("")), F.lit("|>\n"))
-    rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", "content", F.lit(END)))
-    rows = rows.withColumn("size", F.char_length("segment").cast("long"))
-    # blocks in order; turns without a number are the last
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit((1 << 63) - 1)))
+    people = base.where(F.col("speaker") != system).select("k", F.col("speaker").alias("perspective")).distinct()
+    headed = lambda df: df.join(people, "k").withColumn("role", role).withColumn("name", name).withColumn("head", head)
     keys = ["k", "perspective", "block"]
-    blocks = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
     before = Window.partitionBy("k", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # sums of each block follow from those of its speakers, without the texts
+    sums = headed(base.groupBy("k", "block", "speaker").agg(F.count("*").alias("turns"), F.sum("length").alias("lengths")))
+    chars = F.sum(F.col("lengths") + F.col("turns") * (F.char_length("head") + len(END)))
+    blocks = sums.groupBy(*keys).agg(F.sum("turns").alias("n"), chars.alias("chars"))
     blocks = blocks.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("c0"))
+    rows = headed(base).withColumn("size", F.char_length("head") + F.col("length") + len(END))
     inside = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("turn"), "speaker", "content")
     rows = rows.withColumn("i", F.row_number().over(inside)).withColumn("c", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(blocks, keys)
+    rows = rows.join(blocks, keys).withColumn("segment", F.concat("head", "content", F.lit(END)))
     start = F.col("c0") + F.col("c") - F.col("size")
     own = F.col("role") == "assistant"
     return rows.select(
