@@ -45,7 +45,7 @@ from .components import smallest_reachable
 
 SLICE_BYTES = 2 << 20
 #: Sets, and shingles in them, that a chunk of a group holds.
-CHUNK_ROWS, CHUNK_TOKENS = 1024, 500_000
+CHUNK_ROWS, CHUNK_TOKENS = 256, 500_000
 _U32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
