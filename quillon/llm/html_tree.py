@@ -20,7 +20,7 @@ Defined cases.  A null or empty html gives an empty text and 0 characters.  A pa
 without tags is all main text or none, like one block.  Unclosed elements end with
 their parents; unmatched end tags are ignored; text after a cut-off ``<script`` or
 comment belongs to it.  Null ids and urls pass through.  Repeated rows get equal
-results.  Nodes below ``MAX_DEPTH`` hang on the node at that depth.
+results.  Depth has no bound: time is linear in the elements, however they nest.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ from . import textops as tx
 from .html_labelled import labelled_pages
 
 SLICE_BYTES = 2 << 20
-MAX_DEPTH = 200
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
@@ -87,6 +86,7 @@ def parse(source: str) -> Tree:
     """The tree of a page, however broken."""
     tree = Tree()
     stack: list[int] = []
+    opened: dict[str, list[int]] = {}  # where in the stack a tag's open elements are
     block = 0
 
     def push(name: str, attributes: str) -> None:
@@ -107,17 +107,19 @@ def parse(source: str) -> Tree:
         tree.depth.append(len(stack))
         tree.names.append(names)
         tree.main.append(main)
-        if name not in VOID and len(stack) < MAX_DEPTH:
+        if name not in VOID:
+            opened.setdefault(name, []).append(len(stack))
             stack.append(len(tree.tag) - 1)
 
-    def close(kinds: tuple[str, ...], until: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = tree.tag[stack[i]]
-            if tag in kinds:
-                del stack[i:]
-                return
-            if tag in until:
-                return
+    def innermost(kinds: tuple[str, ...]) -> int:
+        return max((opened[k][-1] for k in kinds if opened.get(k)), default=-1)
+
+    def close(kinds: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
+        i = innermost(kinds)
+        if i > innermost(until):
+            for j in stack[i:]:
+                opened[tree.tag[j]].pop()
+            del stack[i:]
 
     push("html", "")
     push("body", "")
@@ -140,10 +142,7 @@ def parse(source: str) -> Tree:
         if name not in INLINE:
             block += 1
         if m[1]:
-            for i in range(len(stack) - 1, 1, -1):
-                if tree.tag[stack[i]] == name:
-                    del stack[i:]
-                    break
+            close((name,))
             continue
         if name in ENDS_P:
             close(("p",), ("td", "th", "li", "div", "section", "article", "main", "aside", "blockquote", "form", "table", "button"))
@@ -153,7 +152,7 @@ def parse(source: str) -> Tree:
         if name in RAW and not m[3].endswith("/"):
             last = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = last.end() if last else end
-            del stack[-1:]
+            close((name,))
     return tree
 
 
@@ -175,14 +174,20 @@ def _arrays(trees: list[Tree]) -> dict[str, np.ndarray]:
     for t, f in zip(trees, first.tolist(), strict=True):
         for i, text, _ in t.texts:
             own[f + i] += len(text)
+    # all nodes by depth, and the place of a node's parent in the level above
+    order, width = np.argsort(depth, kind="stable"), np.bincount(depth)
+    starts = np.cumsum(width) - width
+    levels = np.split(order, starts[1:])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n) - np.repeat(starts, width)
+    above = place[parent]
     link = np.where(kind == _TAG_NUMBER["a"], 1.0, 0.0)
-    total, linked, children = own.copy(), np.zeros(n), np.zeros(n)
-    for d in range(int(depth.max()), 0, -1):
-        rows = np.flatnonzero(depth == d)
+    total, linked = own.copy(), np.zeros(n)
+    children = np.bincount(parent[parent >= 0], minlength=n).astype(float)
+    for rows, over in zip(levels[:0:-1], levels[-2::-1], strict=True):
         linked[rows] = np.where(link[rows] > 0, total[rows], linked[rows])
-        total += np.bincount(parent[rows], total[rows], n)
-        linked += np.bincount(parent[rows], linked[rows], n)
-        children += np.bincount(parent[rows], minlength=n)
+        total[over] += np.bincount(above[rows], total[rows], len(over))
+        linked[over] += np.bincount(above[rows], linked[rows], len(over))
     page = np.repeat(np.arange(len(trees)), count)
     whole = np.maximum(total[first], 1)[page]
     numbers = x[:, _KINDS + _NAMES :]
@@ -195,8 +200,7 @@ def _arrays(trees: list[Tree]) -> dict[str, np.ndarray]:
     numbers[:, 6] = np.log1p(children) / 4
     numbers[:, 7] = (np.arange(n) - first[page]) / count[page]
     numbers[:, 8] = total < 25
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
-    return {"x": x, "parent": parent, "kind": kind, "first": first, "levels": levels, "main": np.concatenate([t.main for t in trees])}
+    return {"x": x, "parent": parent, "above": above, "kind": kind, "first": first, "levels": levels, "main": np.concatenate([t.main for t in trees])}
 
 
 @dataclass
@@ -214,11 +218,11 @@ def marginals(model: TreeModel, a: dict) -> tuple[np.ndarray, np.ndarray]:
     up[:, 1] = a["x"] @ model.node
     edge = model.edge[a["kind"]]
     message = np.zeros((n, 2))
-    for rows in a["levels"][:0:-1]:  # leaves first
+    for rows, over in zip(a["levels"][:0:-1], a["levels"][-2::-1], strict=True):  # leaves first
         both = edge[rows] + up[rows][:, None, :]
         message[rows] = np.logaddexp(both[:, :, 0], both[:, :, 1])
         for state in (0, 1):
-            up[:, state] += np.bincount(a["parent"][rows], message[rows, state], n)
+            up[over, state] += np.bincount(a["above"][rows], message[rows, state], len(over))
     down = up.copy()  # beliefs, from the root
     pair = np.zeros((n, 2, 2))
     for rows in a["levels"][1:]:

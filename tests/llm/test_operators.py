@@ -373,6 +373,37 @@ def test_html_cases(spark):
     assert html_tree.main_text(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_html_nests_deeper_than_two_hundred():
+    model = html_tree.train()
+    menu = "<nav class=menu><ul><li><a href=/>Home</a></ul></nav>"
+    words = " ".join(["ba ko ri tes un la mor en"] * 4)
+    nest = "<div>" * 300 + f"<button>Press</button><script>var a='</div>'</script><p>{words} inmost</p>" + "</div>" * 300
+    page = f"{menu}<div class=wrapper><article><h1>Ba ko</h1><p>{words} before</p>{nest}<p>{words} after</p></article><footer>copyright</footer></div>"
+    tree = html_tree.parse(page)
+    assert max(tree.depth) > 300 and all(tree.depth[i] == tree.depth[p] + 1 for i, p in enumerate(tree.parent) if p >= 0)
+    at = {text.split()[-1]: tree.tag[i] for i, text, _ in tree.texts}
+    assert at["Press"] == "button" and at["inmost"] == at["after"] == "p"
+    above = {text.split()[-1]: tree.tag[tree.parent[i]] for i, text, _ in tree.texts}
+    assert above["inmost"] == "div" and above["before"] == above["after"] == "article"
+    text = html_tree.extract(model, [page])[0]
+    assert text.startswith(f"Ba ko {words} before") and text.endswith(f"{words} after") and "Press" not in text
+    quoted = html_tree.extract(model, [page.replace("<div>", "<blockquote>").replace("</div>" * 300, "</blockquote>" * 300)])[0]
+    assert quoted == f"Ba ko {words} before {words} inmost {words} after"
+
+
+def test_html_marginals_of_a_deep_chain_are_exact():
+    model, a = html_tree.train(20, 10), html_tree._arrays([html_tree.parse("<font>" * 5000 + "deep" + "</i>" * 5000)])
+    unary, edge = a["x"] @ model.node, model.edge[a["kind"]]
+    n = len(unary)
+    assert a["parent"].tolist() == list(range(-1, n - 1))
+    down, up = np.zeros((n, 2)), np.zeros((n, 2))  # sums over the chain above and below a node
+    for i in range(1, n):
+        down[i] = np.logaddexp(down[i - 1, 0] + edge[i, 0], down[i - 1, 1] + unary[i - 1] + edge[i, 1])
+        up[-i - 1] = np.logaddexp(up[-i, 0] + edge[-i, :, 0], up[-i, 1] + unary[-i] + edge[-i, :, 1])
+    odds = unary + down[:, 1] - down[:, 0] + up[:, 1] - up[:, 0]
+    assert np.allclose(html_tree.marginals(model, a)[0], 1 / (1 + np.exp(-odds)))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_html_pages_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
