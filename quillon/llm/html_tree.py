@@ -18,8 +18,10 @@ block's white space becomes single spaces.
 
 Defined cases.  A null or empty html gives an empty text and 0 characters.  A page
 without tags is all main text or none, like one block.  Unclosed elements end with
-their parents; unmatched end tags are ignored; text after a cut-off ``<script`` or
-comment belongs to it.  Null ids and urls pass through.  Repeated rows get equal
+their parents; unmatched end tags are ignored; text after a comment or an element of
+``RAW`` that never ends belongs to it, as in HTML.  An element of ``PAIRED`` is left
+out with all in it if it has an end tag of its own; else it is a hidden element, which
+ends with its parent, an svg or math also where HTML lets markup break out of it.  Null ids and urls pass through.  Repeated rows get equal
 results.  Depth has no bound: time is linear in the elements, however they nest.
 """
 
@@ -45,7 +47,8 @@ _WORD = re.compile(r"[a-z]+")
 
 # What HTML says about its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
+RAW = frozenset("script style textarea title iframe".split())
+PAIRED = frozenset("noscript template svg math select object".split())
 HIDDEN = frozenset("script style noscript template iframe svg math head title select textarea option button object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -58,6 +61,11 @@ ENDS = {
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
 }
+FOREIGN = ("svg", "math")
+#: What ends an unclosed svg or math, and the elements in these that hold HTML.
+BREAKS_OUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = ("foreignobject", "desc", "annotation-xml", "mi", "mn", "mo", "ms", "mtext")
+_PAIR = re.compile(rf"<!--|<(/?)({'|'.join(sorted(RAW | PAIRED))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 #: Stems in class, id and role that layouts use beside and for main text.
 BESIDE = ("nav", "menu", "head", "foot", "side", "bar", "ad", "ads", "advert", "sponsor", "promo", "banner", "cookie", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "search", "login", "form", "share", "social", "comment", "comments", "reply", "respond", "related", "widget", "breadcrumb", "breadcrumbs", "tags", "meta", "copyright", "pagination", "pager", "toolbar", "teaser", "recommended", "disclaimer", "legal", "sidebar", "footer", "header", "navigation", "masthead", "sponsored", "site")
 WITHIN = ("article", "content", "main", "post", "entry", "story", "text", "body", "prose", "article-body")
@@ -82,10 +90,37 @@ class Tree:
     texts: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, block
 
 
+def _end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>" if name else "-->", re.I)
+
+
+def _pair_ends(source: str) -> dict[int, int]:
+    """Where an element of ``PAIRED`` that starts at a place and has its own end tag ends."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    endless: set[str] = set()
+    at = 0
+    while m := _PAIR.search(source, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in PAIRED:
+            if not m[1]:
+                if name not in FOREIGN or not m[3].endswith("/"):
+                    opened.setdefault(name, []).append(m.start())
+            elif opened.get(name):
+                ends[opened[name].pop()] = at
+        elif not m[1] and name not in endless:
+            if last := _end(name).search(source, at):
+                at = last.end()
+            else:
+                endless.add(name)
+    return ends
+
+
 def parse(source: str) -> Tree:
     """The tree of a page, however broken."""
     tree = Tree()
     stack: list[int] = []
+    ends: dict[int, int] | None = None
     opened: dict[str, list[int]] = {}  # where in the stack a tag's open elements are
     block = 0
 
@@ -114,12 +149,14 @@ def parse(source: str) -> Tree:
     def innermost(kinds: tuple[str, ...]) -> int:
         return max((opened[k][-1] for k in kinds if opened.get(k)), default=-1)
 
-    def close(kinds: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
+    def close(kinds: tuple[str, ...], until: tuple[str, ...] = ()) -> bool:
         i = innermost(kinds)
-        if i > innermost(until):
-            for j in stack[i:]:
-                opened[tree.tag[j]].pop()
-            del stack[i:]
+        if i <= innermost(until):
+            return False
+        for j in stack[i:]:
+            opened[tree.tag[j]].pop()
+        del stack[i:]
+        return True
 
     push("html", "")
     push("body", "")
@@ -144,15 +181,24 @@ def parse(source: str) -> Tree:
         if m[1]:
             close((name,))
             continue
+        if name in BREAKS_OUT:
+            while close(FOREIGN, HOLDS_HTML):
+                pass
         if name in ENDS_P:
             close(("p",), ("td", "th", "li", "div", "section", "article", "main", "aside", "blockquote", "form", "table", "button"))
         if name in ENDS:
             close(*ENDS[name])
         push(name, m[3])
         if name in RAW and not m[3].endswith("/"):
-            last = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            last = _end(name).search(source, at)
             at = last.end() if last else end
             close((name,))
+        elif name in PAIRED:
+            if ends is None:
+                ends = _pair_ends(source)
+            if m.start() in ends or m[3].endswith("/"):
+                at = ends.get(m.start(), at)
+                close((name,))
     return tree
 
 

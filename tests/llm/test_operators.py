@@ -404,6 +404,34 @@ def test_html_marginals_of_a_deep_chain_are_exact():
     assert np.allclose(html_tree.marginals(model, a)[0], 1 / (1 + np.exp(-odds)))
 
 
+@pytest.mark.parametrize("name", ["noscript", "template", "svg", "math", "select", "object"])
+def test_html_unclosed_hidden_elements_end_with_their_parents(name):
+    model = html_tree.train()
+    words = " ".join(["ba ko ri tes un la mor en"] * 4)
+    page = "<nav class=menu><ul><li><a href=/>Home</a></ul></nav><div class=search>{}</div><article><h1>Ba ko</h1><p>%s before{}</p><p>%s after</p></article>" % (words, words)
+    want = f"Ba ko {words} before {words} after"
+    inside = "<option>Not this" if name == "select" else "Not this"
+    closed, nested = f"<{name}>{inside}<p>Nor this</p></{name}>", f"<{name}><{name}>{inside}</{name}>Nor this</{name}>"
+    for made in (closed, nested, f"<{name}>{inside}", f"<{name} a='>'>{inside}<script>'</{name}>'</script><!--</{name}>-->", f"<{name} b=''/>"):
+        assert html_tree.extract(model, [page.format("", made)]) == [want]
+        # in an element of its own before the article, and a closed one later
+        assert html_tree.extract(model, [page.format(made, "")]) == [want]
+        assert html_tree.extract(model, [page.format(made, closed)]) == [want]
+
+
+def test_html_markup_breaks_out_of_unclosed_foreign_elements():
+    tree = html_tree.parse("<div><svg><g><foreignObject><p>in</p></foreignObject><text>too</text><svg><p>out</div>")
+    chains = {}
+    for i, text, _ in tree.texts:
+        chains[text] = []
+        while i > 1:
+            chains[text].append(tree.tag[i])
+            i = tree.parent[i]
+    assert chains == {"in": ["p", "foreignobject", "g", "svg", "div"], "too": ["text", "g", "svg", "div"], "out": ["p", "div"]}
+    cut = html_tree.parse("a<script>b<p>c")
+    assert [t for _, t, _ in cut.texts] == ["a"]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_html_pages_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
