@@ -10,8 +10,11 @@ rarest terms, with their offsets.  The postings of these terms alone are fetched
 a posting at p of a term at item offset q lies on the diagonal p - q.  Lists of one
 document and item are intersected by diagonal: an occurrence of a window puts both
 of its rare terms on one.  The diagonals that remain are compared with the stored
-tokens word by word, which gives the exact phrase matches.  Two terms of an item
-on diagonals at most ``slop`` apart are a proximity match.
+tokens word by word, which gives the exact phrase matches.
+
+Proximity has anchors of its own, as an edited copy may lack any of the words: each
+window names the two rarest of its different terms that occur at all.  Two different
+anchor terms of an item on diagonals at most ``slop`` apart are a proximity match.
 
 Sizes.  What grows with the corpus is shuffled, never sent everywhere: documents'
 words, postings and candidates.  What comes from the test items is broadcast only
@@ -63,28 +66,32 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchors(index: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """``(term, item, q, need)``: the two rarest terms of every window."""
+    """``(term, item, q, t, need)``: the two rarest terms of every window; ``t`` numbers an item's terms."""
     terms = _small(items.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = index.select(F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     counts = _small(counts, "term-counts")
-    spots = items.select("item", F.size("words").alias("size"), F.posexplode("words").alias("q", "term")).join(counts, "term", "left")
+    spots = items.select("item", "words", F.size("words").alias("size"), F.posexplode("words").alias("q", "term"))
+    spots = spots.select("item", "size", "q", "term", F.expr("array_position(words, term)").alias("t")).join(counts, "term", "left")
     last = F.greatest(F.col("size") - n, F.lit(0))
     starts = F.sequence(F.greatest(F.col("q") - (n - 1), F.lit(0)), F.least(F.col("q"), last))
-    by_window = spots.withColumn("start", F.explode(starts)).groupBy("item", "start", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "q"))).alias("ranked"))
-    # a window with a term that no document has cannot occur
-    possible = by_window.where("ranked[0].df > 0")
-    rarest = possible.select("item", F.least(F.col("size"), F.lit(2)).alias("need"), F.explode(F.slice("ranked", 1, 2)).alias("a"))
-    return _small(rarest.select("a.term", "item", "a.q", "need").distinct(), "anchors")
+    by_window = spots.withColumn("start", F.explode(starts)).groupBy("item", "start", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "q", "t"))).alias("ranked"))
+    # a window with a term that no document has cannot occur, but what is left of it can be near
+    phrase = F.filter(F.slice("ranked", 1, 2), lambda x: F.col("ranked")[0]["df"] > 0)
+    present = by_window.withColumn("near", F.filter("ranked", lambda x: x["df"] > 0))
+    other = F.filter("near", lambda x: x["t"] != F.col("near")[0]["t"])
+    chosen = F.array_union(phrase, F.concat(F.slice("near", 1, 1), F.slice(other, 1, 1)))
+    rarest = present.select("item", F.least(F.col("size"), F.lit(2)).alias("need"), F.explode(chosen).alias("a"))
+    return _small(rarest.select("a.term", "item", "a.q", "a.t", "need").distinct(), "anchors")
 
 
 def _diagonals(index: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
     """For each document and item: candidate diagonals, and whether two terms are near each other."""
     postings = index.select("doc_id", "h", F.posexplode("tokens").alias("p", "term"))
-    hits = postings.join(anchors, "term").select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q")
-    lists = hits.groupBy("doc_id", "h", "item", "need").agg(F.sort_array(F.collect_set(F.struct("d", "q"))).alias("l")).where("size(l) >= need")
+    hits = postings.join(anchors, "term").select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q", "t")
+    lists = hits.groupBy("doc_id", "h", "item", "need").agg(F.sort_array(F.collect_set(F.struct("d", "q", "t"))).alias("l")).where("size(l) >= need")
     later = F.expr(f"""filter(transform(sequence(1, size(l)), i -> struct(l[i - 1].d as d,
         i < size(l) and l[i].d = l[i - 1].d and l[i].q <> l[i - 1].q as phrase,
-        i < size(l) and l[i].d - l[i - 1].d <= {slop} and l[i].q <> l[i - 1].q as near)), x -> x.phrase or x.near or need = 1)""")
+        i < size(l) and l[i].d - l[i - 1].d <= {slop} and l[i].t <> l[i - 1].t as near)), x -> x.phrase or x.near or need = 1)""")
     found = lists.select("doc_id", "h", "item", "need", later.alias("f")).where("size(f) > 0")
     phrase = F.expr("array_distinct(transform(filter(f, x -> x.phrase or need = 1), x -> x.d))")
     return found.select("doc_id", "h", "item", phrase.alias("diagonals"), F.exists("f", lambda x: x["near"]).alias("near"))
@@ -113,10 +120,10 @@ def _matches(index: DataFrame, found: DataFrame, items: DataFrame, n: int) -> Da
 def contamination(
     docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """For each row of ``docs``: ``doc_id, h, n_words, n_hit, n_items, item_ids, n_near``.
+    """For each row of ``docs``: ``doc_id, h, n_words, n_hit, n_items, item_ids, n_near, near_ids``.
 
     ``n_hit`` words lie in an occurrence of a window of ``n_items`` items, ``item_ids``
-    sorted as strings; ``n_near`` items have two rare terms within ``slop`` positions.
+    sorted as strings; ``n_near`` items, ``near_ids`` sorted, have a proximity match.
     """
     index = token_index(docs, id_col, text_col)
     test = _items(items, item_id_col, item_text_col)
@@ -124,11 +131,11 @@ def contamination(
     matches = _matches(index, found, test, n).groupBy("doc_id", "h")
     positions = F.array_distinct(F.flatten(F.collect_list("covered")))
     hits = matches.agg(F.size(positions).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    near = found.where("near").join(_small(test.select("item", "item_id"), "item-ids"), "item").groupBy("doc_id", "h").agg(F.count_distinct("item_id").alias("n_near"))
+    near = found.where("near").join(_small(test.select("item", "item_id"), "item-ids"), "item").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("near_ids"))
     out = index.select("doc_id", "h", F.size("tokens").cast("long").alias("n_words"))
     for side in (stored(hits, "hits"), stored(near, "near")):
         out = out.join(side, ["doc_id", "h"], "left")
     none = F.array().cast("array<string>")
     return out.select(
-        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_near", F.lit(0)).alias("n_near")
+        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.size(F.coalesce("near_ids", none)).cast("long").alias("n_near"), F.coalesce("near_ids", none).alias("near_ids")
     )

@@ -41,6 +41,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items whose rare words lie near each other in every document."""
+    found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=10)
+    return found.select("doc_id", "n_words", "n_near", F.sha2(F.array_join("near_ids", ","), 256).alias("near_sha256"))
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of every page's response."""
     made = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_suffix_repetition": op2_suffix_repetition,
     "op3_decontaminate": op3_decontaminate,
+    "op3_proximity": op3_proximity,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_near_dedup": op5_near_dedup,
     "op6_html_extraction": op6_html_extraction,

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_rotation, components, decontaminate, html_labelled, html_tree, huffman, near_dedup, quality_fm, repetition, sentencepiece_trie, substring_dedup, textops, warc
+from quillon.llm import chat_rotation, components, decontaminate, html_labelled, html_tree, huffman, near_dedup, quality_fm, queries, repetition, sentencepiece_trie, substring_dedup, textops, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -219,6 +219,50 @@ def test_contamination(spark, seed):
     assert decontaminate.contamination(frame(spark, rows).limit(0), none).collect() == []
 
 
+@pytest.mark.parametrize("slop", [2, 20])
+def test_proximity(spark, slop):
+    rows = [*corpus(3), (None, "one two, three four")]
+    docs = [(d, TOKENS.findall((t or "").translate(LOWER))) for d, t in rows]
+    rng = random.Random(slop)
+    items = [(90, "zzunseen alone"), (91, "w1 w1 w1"), (92, "w1"), (93, None), (94, "one zzunseen three four")]
+    for i in range(16):
+        w = list(rng.choice([x for _, x in docs if len(x) > 30]))
+        at, size = rng.randrange(len(w) - 20), rng.choice((4, 8, 10, 15, 19))
+        w = w[at : at + size]
+        if i % 4:
+            w[len(w) // 2] = "zzunseen"  # in all windows of the item
+        if i % 3 == 0:
+            w[1:2] = ["w7", w[0]]
+        items.append((i, " ".join(w)))
+    df = Counter(t for _, w in docs for t in w)
+    want: dict[tuple, set] = {(d, tuple(w)): set() for d, w in docs}
+    for i, text in items:
+        w = TOKENS.findall(text or "")
+        anchors = set()
+        for s in range(max(1, len(w) - 9) if w else 0):
+            ranked = sorted((df[w[q]], w[q], q) for q in range(s, min(s + 10, len(w))))
+            present = [(t, q) for n, t, q in ranked if n]
+            if ranked[0][0]:
+                anchors |= {(t, q) for _, t, q in ranked[:2]}
+            anchors |= set(present[:1] + [x for x in present if x[0] != present[0][0]][:1])
+        for d, words in docs:
+            spots = [(p - q, t) for p, x in enumerate(words) for t, q in anchors if x == t]
+            if any(a[1] != b[1] and abs(a[0] - b[0]) <= slop for a in spots for b in spots):
+                want[d, tuple(words)].add(str(i))
+    out = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()
+    found = Counter((r["doc_id"], r["n_words"], r["n_near"]) for r in out)
+    assert found == Counter((d, len(w), len(want[d, tuple(w)])) for d, w in docs)
+    assert Counter((r["doc_id"], r["n_words"], ",".join(r["near_ids"])) for r in out) == Counter((d, len(w), ",".join(sorted(want[d, tuple(w)]))) for d, w in docs)
+    assert next(r for r in out if r["doc_id"] is None and r["n_words"] == 4)["near_ids"] == ["94"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_proximity_query(spark):
+    rows = queries.op3_proximity(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all((r["n_near"] == 0) == (r["near_sha256"] == hashlib.sha256(b"").hexdigest()) for r in rows) and any(r["n_near"] for r in rows)
+
+
 # 4
 
 
