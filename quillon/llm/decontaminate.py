@@ -1,8 +1,9 @@
-"""Benchmark decontamination with a positional inverted index, in DataFrame operations.
+"""Benchmark decontamination by positional postings, in DataFrame operations.
 
-The training documents are tokenised once into a stored table ``(doc_id, h, tokens)``
-in which a token's array position is its posting's position.  Postings of chosen
-terms are read out of it.
+The training documents are tokenised once into a stored forward table ``(doc_id, h,
+tokens)``, in which a token's array position is its posting's position.  No postings
+keyed by term are stored: frequencies and the postings of chosen terms are derived
+from the forward table in every run.
 
 A test item's windows are every ``n`` consecutive words of it (all words if it has
 fewer).  Over the training frequencies of its words each window names its two
@@ -55,7 +56,7 @@ def _small(df: DataFrame, name: str) -> DataFrame:
 
 
 def token_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index ``(doc_id, h, tokens)``; ``h`` tells texts of one id apart."""
+    """The stored forward index ``(doc_id, h, tokens)``; ``h`` tells texts of one id apart."""
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     return stored(docs.select(id_.alias("doc_id"), F.xxhash64(text_col).alias("h"), tokens(F.col(text_col)).alias("tokens")), "token-index")
 
