@@ -1,28 +1,32 @@
 """Main text of web pages from a tree-structured graphical model over the DOM.
 
 Every element is a node with a hidden state: part of the main text or not.  Its
-potential follows from what can be seen of it (tag, names in class and id, role,
-amount of text, share of text in links, place in the page), and each parent and child
-share a potential that depends on both states and on what the child is.  As the graph
-is a tree, sum-product messages, once from the leaves to the root and once back,
-give the exact marginal of every node.  All nodes of equal depth of many pages are
-handled at once.
+potential follows from what can be seen of it: tag, names in class, id and role, the
+amount of text, the share of it in links, its share of the page's running text, and
+whether a named part of the page holds it.  Each parent and child share a potential
+that depends on both states and on what the child is.  As the graph is a tree,
+sum-product messages, once from the leaves to the root and once back, give the exact
+marginal of every node.  All nodes of equal depth of many pages are handled at once.
 
 The weights of both potentials maximise the likelihood of labelled pages (made by
 ``html_labelled``, a bounded number): the gradient is what the labels show less what
-the marginals expect.  Training takes a few seconds on the driver.
+the marginals expect.  Training takes some seconds on the driver.
 
 A text belongs to the main text if the marginal of its element is at least a half.
 Elements that never show text (script, style, template, ...) are dropped, and a
-block's white space becomes single spaces.
+block's white space becomes single spaces.  The content of ``math`` and ``object`` is
+text like any other.
 
 Defined cases.  A null or empty html gives an empty text and 0 characters.  A page
 without tags is all main text or none, like one block.  Unclosed elements end with
-their parents; unmatched end tags are ignored; text after a comment or an element of
-``RAW`` that never ends belongs to it, as in HTML.  An element of ``PAIRED`` is left
-out with all in it if it has an end tag of its own; else it is a hidden element, which
-ends with its parent, an svg or math also where HTML lets markup break out of it.  Null ids and urls pass through.  Repeated rows get equal
-results.  Depth has no bound: time is linear in the elements, however they nest.
+their parents; unmatched end tags are ignored; text after a comment, a tag or an
+element of ``RAW`` that never ends belongs to it, as in HTML.  An element of
+``PAIRED`` is left out with all in it if it has an end tag of its own; else it is a
+hidden element, which ends with its parent, an svg also where HTML lets markup break
+out of it.  Null ids and urls pass through.  Repeated rows get equal results, ties
+cannot arise.  An empty table gives an empty one.  Of the input's columns only
+page_id, url and html are read, so others may have any name.  A page of any length
+is parsed whole, in time linear in its length; depth has no bound.
 """
 
 from __future__ import annotations
@@ -41,16 +45,19 @@ from . import textops as tx
 from .html_labelled import labelled_pages
 
 SLICE_BYTES = 2 << 20
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_WORD = re.compile(r"[a-z]+")
+# attributes of a tag: quotes count only where a value starts, and nothing is scanned twice
+_INSIDE = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)"
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|</(?![a-zA-Z])[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)" + _INSIDE, re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]++)?+)?+")
+_DIGITS = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # What HTML says about its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe".split())
-PAIRED = frozenset("noscript template svg math select object".split())
-HIDDEN = frozenset("script style noscript template iframe svg math head title select textarea option button object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+PAIRED = frozenset("noscript template svg select".split())
+HIDDEN = frozenset("script style noscript template iframe svg head title select textarea option button annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the first kinds, up to one of the second.
 ENDS = {
@@ -65,8 +72,8 @@ FOREIGN = ("svg", "math")
 #: What ends an unclosed svg or math, and the elements in these that hold HTML.
 BREAKS_OUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HOLDS_HTML = ("foreignobject", "desc", "annotation-xml", "mi", "mn", "mo", "ms", "mtext")
-_PAIR = re.compile(rf"<!--|<(/?)({'|'.join(sorted(RAW | PAIRED))})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-#: Stems in class, id and role that layouts use beside and for main text.
+_PAIR = re.compile(rf"<!--|<(/?)({'|'.join(sorted(RAW | PAIRED))})(?=[\s/>])" + _INSIDE, re.I)
+#: Stems in class, id and role that layouts use beside and for main text.
 BESIDE = ("nav", "menu", "head", "foot", "side", "bar", "ad", "ads", "advert", "sponsor", "promo", "banner", "cookie", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "search", "login", "form", "share", "social", "comment", "comments", "reply", "respond", "related", "widget", "breadcrumb", "breadcrumbs", "tags", "meta", "copyright", "pagination", "pager", "toolbar", "teaser", "recommended", "disclaimer", "legal", "sidebar", "footer", "header", "navigation", "masthead", "sponsored", "site")
 WITHIN = ("article", "content", "main", "post", "entry", "story", "text", "body", "prose", "article-body")
 TAGS = ("html", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside", "form", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "a", "b", "span", "em", "strong", "blockquote", "pre", "table", "tr", "td", "figure", "figcaption", "label", "button", "input", "dialog", "menu", "img", "dl", "dt", "dd")
@@ -74,8 +81,13 @@ _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
 _KINDS = len(TAGS) + 1
 _NAME_NUMBER = {w: i for i, w in enumerate(BESIDE)} | {w: len(BESIDE) + i for i, w in enumerate(WITHIN)}
 _NAMES = len(BESIDE) + len(WITHIN)
-_NUMBERS = 9
+_NUMBERS = 18
+#: Where a node's weights are: tags, names, numbers.
+_TAG_AT, _NAME_AT, _NUMBER_AT = 0, _KINDS, _KINDS + _NAMES
 FEATURES = _KINDS + _NAMES + _NUMBERS
+#: Children are told apart for their edge by tag and by marks of main text (2) or of what stands beside (1).
+_EDGES = 4 * _KINDS
+_MARKS = {"nav": 1, "footer": 1, "aside": 1, "form": 1, "dialog": 1, "menu": 1, "article": 2, "main": 2}
 
 
 @dataclass
@@ -91,7 +103,17 @@ class Tree:
 
 
 def _end(name: str) -> re.Pattern:
-    return re.compile(rf"</{re.escape(name)}\s*>" if name else "-->", re.I)
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?" if name else "-->", re.I)
+
+
+def unescape(text: str) -> str:
+    """``html.unescape``, which refuses numbers of thousands of digits: they are no character."""
+    if "&" not in text:
+        return text
+    try:
+        return html.unescape(text)
+    except ValueError:
+        return html.unescape(_DIGITS.sub("\ufffd", text))
 
 
 def _pair_ends(source: str) -> dict[int, int]:
@@ -131,8 +153,8 @@ def parse(source: str) -> Tree:
             for key, value in _ATTRIBUTE.findall(attributes):
                 key = key.lower()
                 if key in ("class", "id", "role"):
-                    for w in _WORD.findall(value.lower()):
-                        i = _NAME_NUMBER.get(w)
+                    for w in _WORD.findall(value):
+                        i = _NAME_NUMBER.get(w.lower())
                         if i is not None:
                             names.append(i)
                 elif key == "data-main":
@@ -167,13 +189,15 @@ def parse(source: str) -> Tree:
         if stop > at:
             text = source[at:stop]
             if not text.isspace():
-                tree.texts.append((stack[-1], html.unescape(text), block))
+                tree.texts.append((stack[-1], unescape(text), block))
             elif tree.texts:
                 tree.texts.append((stack[-1], " ", block))
         if m is None:
             break
         at = m.end()
         name = (m[2] or "").lower()
+        if name == "body" and 'data-main="1"' in m[3]:
+            tree.main[1] = True
         if not name or name in ("html", "body"):
             continue
         if name not in INLINE:
@@ -203,23 +227,27 @@ def parse(source: str) -> Tree:
 
 
 def _arrays(trees: list[Tree]) -> dict[str, np.ndarray]:
-    """All nodes of several pages, with their features as a matrix."""
+    """All nodes of several pages, with what is seen of them."""
     count = np.array([len(t.tag) for t in trees])
     first = np.cumsum(count) - count
     n = int(count.sum())
+    page = np.repeat(np.arange(len(trees)), count)
     parent = np.concatenate([np.array(t.parent) + np.where(np.array(t.parent) >= 0, f, 0) for t, f in zip(trees, first.tolist(), strict=True)])
     depth = np.concatenate([t.depth for t in trees])
     kind = np.fromiter((_TAG_NUMBER.get(tag, _KINDS - 1) for t in trees for tag in t.tag), np.int64, n)
-    x = np.zeros((n, FEATURES), np.float32)
-    x[np.arange(n), kind] = 1
+    inline = np.fromiter((tag in INLINE for t in trees for tag in t.tag), bool, n)
+    shown = np.fromiter((tag not in HIDDEN for t in trees for tag in t.tag), bool, n)
+    mark = np.fromiter((_MARKS.get(tag, 0) for t in trees for tag in t.tag), np.int64, n)
     at = [(f + i, w) for t, f in zip(trees, first.tolist(), strict=True) for i, names in enumerate(t.names) for w in names]
-    if at:
-        rows, cols = np.array(at).T
-        x[rows, _KINDS + cols] = 1
-    own = np.zeros(n)
+    named = np.unique(np.array(at, np.int64).reshape(-1, 2), axis=0)
+    np.bitwise_or.at(mark, named[:, 0], np.where(named[:, 1] < len(BESIDE), 1, 2))
+    own, sign = np.zeros(n), np.zeros(n)
     for t, f in zip(trees, first.tolist(), strict=True):
         for i, text, _ in t.texts:
             own[f + i] += len(text)
+            if "\xa9" in text:
+                sign[f + i] = 1
+    own *= shown
     # all nodes by depth, and the place of a node's parent in the level above
     order, width = np.argsort(depth, kind="stable"), np.bincount(depth)
     starts = np.cumsum(width) - width
@@ -227,26 +255,51 @@ def _arrays(trees: list[Tree]) -> dict[str, np.ndarray]:
     place = np.empty(n, np.int64)
     place[order] = np.arange(n) - np.repeat(starts, width)
     above = place[parent]
-    link = np.where(kind == _TAG_NUMBER["a"], 1.0, 0.0)
-    total, linked = own.copy(), np.zeros(n)
+    # from the leaves: text, text in links, and the running text of a block with what is inline in it
+    link = kind == _TAG_NUMBER["a"]
+    total, linked, flow, flow_linked = own.copy(), np.zeros(n), own.copy(), np.zeros(n)
+    prose, direct = np.zeros(n), np.zeros(n)
+    for rows, over in zip([*levels[:0:-1], levels[0]], [*levels[-2::-1], None], strict=True):
+        linked[rows] = np.where(link[rows], total[rows], linked[rows])
+        flow_linked[rows] = np.where(link[rows], flow[rows], flow_linked[rows])
+        block = ~inline[rows]
+        running = np.where(block, (flow[rows] - flow_linked[rows]) * np.minimum(flow[rows] / 80, 1), 0)
+        prose[rows] += running
+        direct[rows] += running
+        if over is None:
+            break
+        for sums, values in ((total, total[rows]), (linked, linked[rows]), (flow, flow[rows] * ~block), (flow_linked, flow_linked[rows] * ~block), (prose, prose[rows]), (direct, running)):
+            sums[over] += np.bincount(above[rows], values, len(over))
+    whole, running = np.maximum(total[first], 1)[page], np.maximum(prose[first], 1)[page]
+    # from the root: what holds a node. What holds nearly all running text isn't beside it.
+    share = prose / running
+    beside, within = (mark & 1 > 0) & (share < 0.9), mark & 2 > 0
+    inner = within & ~beside
+    for rows in levels[1:]:
+        beside[rows] |= beside[parent[rows]]
+        within[rows] |= within[parent[rows]]
+    marked = np.bincount(page[inner], minlength=len(trees))[page] > 0
+    link_share = linked / np.maximum(total, 1)
     children = np.bincount(parent[parent >= 0], minlength=n).astype(float)
-    for rows, over in zip(levels[:0:-1], levels[-2::-1], strict=True):
-        linked[rows] = np.where(link[rows] > 0, total[rows], linked[rows])
-        total[over] += np.bincount(above[rows], total[rows], len(over))
-        linked[over] += np.bincount(above[rows], linked[rows], len(over))
-    page = np.repeat(np.arange(len(trees)), count)
-    whole = np.maximum(total[first], 1)[page]
-    numbers = x[:, _KINDS + _NAMES :]
-    numbers[:, 0] = 1
-    numbers[:, 1] = np.log1p(own) / 5
-    numbers[:, 2] = np.log1p(total) / 8
-    numbers[:, 3] = linked / np.maximum(total, 1)
-    numbers[:, 4] = total / whole
-    numbers[:, 5] = np.minimum(depth, 20) / 20
-    numbers[:, 6] = np.log1p(children) / 4
-    numbers[:, 7] = (np.arange(n) - first[page]) / count[page]
-    numbers[:, 8] = total < 25
-    return {"x": x, "parent": parent, "above": above, "kind": kind, "first": first, "levels": levels, "main": np.concatenate([t.main for t in trees])}
+    numbers = [
+        np.ones(n), np.log1p(np.minimum(own, 500)) / 5, np.log1p(np.minimum(total, 3000)) / 8, link_share, link_share > 0.6, total / whole, np.log1p(children) / 4, (np.arange(n) - first[page]) / count[page], total < 25,
+        share, prose / np.maximum(total, 1), direct / running, beside, within, marked & ~within, beside & within, sign, np.log1p(np.minimum(direct, 3000)) / 8,
+    ]
+    edge = kind * 4 + mark
+    return {"kind": kind, "named": named, "numbers": np.stack(numbers, 1), "parent": parent, "above": above, "edge": edge, "first": first, "levels": levels, "main": np.concatenate([t.main for t in trees])}
+
+
+def _unary(a: dict, weights: np.ndarray) -> np.ndarray:
+    """Each node's potential of state 1."""
+    out = weights[a["kind"]] + a["numbers"] @ weights[_NUMBER_AT:]
+    return out + np.bincount(a["named"][:, 0], weights[_NAME_AT + a["named"][:, 1]], len(out))
+
+
+def _seen(a: dict, p: np.ndarray) -> np.ndarray:
+    """The sum of all nodes' features, each counted ``p`` times."""
+    tags = np.bincount(a["kind"], p, _KINDS)
+    names = np.bincount(a["named"][:, 1], p[a["named"][:, 0]], _NAMES)
+    return np.concatenate([tags, names, p @ a["numbers"]])
 
 
 @dataclass
@@ -261,8 +314,8 @@ def marginals(model: TreeModel, a: dict) -> tuple[np.ndarray, np.ndarray]:
     """For each node the probability of state 1, and of each (parent state, state)."""
     n = len(a["parent"])
     up = np.zeros((n, 2))
-    up[:, 1] = a["x"] @ model.node
-    edge = model.edge[a["kind"]]
+    up[:, 1] = _unary(a, model.node)
+    edge = model.edge[a["edge"]]
     message = np.zeros((n, 2))
     for rows, over in zip(a["levels"][:0:-1], a["levels"][-2::-1], strict=True):  # leaves first
         both = edge[rows] + up[rows][:, None, :]
@@ -284,17 +337,17 @@ def marginals(model: TreeModel, a: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def train(pages: int = 600, epochs: int = 20, seed: int = 11, batch: int = 100) -> TreeModel:
+def train(pages: int = 1800, epochs: int = 25, seed: int = 11, batch: int = 100, without: tuple[str, ...] = ()) -> TreeModel:
     """Maximum likelihood by Adam over the labelled pages, ``batch`` of them a step."""
-    made = labelled_pages(pages, seed)
+    made = labelled_pages(pages, seed, without)
     parts = []
     for at in range(0, pages, batch):
         a = _arrays([parse(p) for p in made[at : at + batch]])
         y, inner = a["main"].astype(float), np.flatnonzero(a["parent"] >= 0)
-        seen = np.zeros((_KINDS, 2, 2))
-        np.add.at(seen, (a["kind"][inner], y[a["parent"][inner]].astype(int), y[inner].astype(int)), 1)
-        parts.append((a, inner, a["x"].T @ y, seen))
-    model = TreeModel(np.zeros(FEATURES), np.zeros((_KINDS, 2, 2)))
+        seen = np.zeros((_EDGES, 2, 2))
+        np.add.at(seen, (a["edge"][inner], y[a["parent"][inner]].astype(int), y[inner].astype(int)), 1)
+        parts.append((a, inner, _seen(a, y), seen))
+    model = TreeModel(np.zeros(FEATURES), np.zeros((_EDGES, 2, 2)))
     moments = [np.zeros_like(w) for w in (model.node, model.node, model.edge, model.edge)]
     steps = epochs * len(parts)
     for step in range(1, steps + 1):
@@ -302,8 +355,8 @@ def train(pages: int = 600, epochs: int = 20, seed: int = 11, batch: int = 100)
         p, pair = marginals(model, a)
         expected = np.zeros_like(seen_edge)
         for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
-            expected[:, i, j] = np.bincount(a["kind"][inner], pair[inner, i, j], _KINDS)
-        grads = (seen_node - a["x"].T @ p) / batch - 0.001 * model.node, (seen_edge - expected) / batch - 0.001 * model.edge
+            expected[:, i, j] = np.bincount(a["edge"][inner], pair[inner, i, j], _EDGES)
+        grads = (seen_node - _seen(a, p)) / batch - 0.001 * model.node, (seen_edge - expected) / batch - 0.001 * model.edge
         for i, (g, w) in enumerate(zip(grads, (model.node, model.edge), strict=True)):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (g - m)
