@@ -9,16 +9,18 @@ of neighbours in the array follows from these ranks, longest level first.
 
 An interval of the array whose neighbours share at least ``v`` words, bounded by
 smaller values, is a right-maximal repeat of length ``v``; it is maximal if the
-words before its members differ, too.  The union of the spans of all maximal
-repeats of at least ``min_words`` words is the union, over suffixes, of the longest
-prefix that occurs elsewhere in the document, since each such span extends to the
-left to a maximal repeat.  The second form is linear and is what is summed.
+words before its members differ, too.  A maximal repeat's spans are its length from
+each member's start.  Intervals are nested, so the longest span that starts at a
+suffix is that of the innermost interval around its place; the union of these is the
+union of all spans.  Covered words, the covered share of characters, the longest
+repeat and the number of maximal repeats all come from the intervals.
 
 Words are told apart by 64-bit hashes of their bytes.
 
 Defined cases.  A null text has no words, like a blank one: it fails the base rule.
-A text is judged by itself, so repeated rows get equal results.  Columns named like
-the added ones are replaced.
+A text is judged by itself and whole, however long, so repeated rows get equal
+results and ties cannot arise.  An empty table gives an empty one.  Columns named
+like the added ones are replaced; others, nulls in them included, pass through.
 """
 
 from __future__ import annotations
@@ -117,6 +119,23 @@ def lcp_intervals(lcp: np.ndarray, order: np.ndarray, before: np.ndarray) -> lis
     return out
 
 
+def longest_spans(found: list[tuple[int, int, int]], places: int) -> np.ndarray:
+    """For every place of the array the length of the innermost interval around it; 0 if none is."""
+    out = np.zeros(places, np.int64)
+    events = sorted([(first, 1, -last, length) for length, first, last in found] + [(last + 1, 0, 0, 0) for _, _, last in found])
+    stack: list[int] = []
+    before = 0
+    for at, opens, _, length in events:
+        if stack and at > before:
+            out[before:at] = stack[-1]
+        before = at
+        if opens:
+            stack.append(length)
+        else:
+            stack.pop()
+    return out
+
+
 def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
@@ -151,11 +170,13 @@ def features(texts: pa.Array, window: int, min_words: int) -> dict[str, np.ndarr
     symbols[ends] = n + np.arange(rows)
     order, levels = suffix_ranks(symbols)
     lcp = common_prefixes(order, levels, min(window, min_words))
-    longest = np.zeros(len(order) + 1, np.int64)
-    np.maximum(lcp, np.append(lcp[1:], 0), out=longest[:-1])
-    by_place = np.zeros(len(order), np.int64)
-    by_place[order] = longest[:-1]
-    reach = by_place[place]  # words from each word that occur elsewhere in the document
+    before = np.empty(len(symbols), np.uint64)
+    before[1:] = symbols[:-1]
+    before[0] = n + rows
+    found = lcp_intervals(lcp, order, before)
+    by_place = np.empty(len(order), np.int64)
+    by_place[order] = longest_spans(found, len(order))
+    reach = by_place[place]  # words of the longest maximal repeat that starts at each word
     covered = {}
     for least in {window, min_words}:
         edge = np.zeros(n + 1, np.int64)
@@ -166,16 +187,13 @@ def features(texts: pa.Array, window: int, min_words: int) -> dict[str, np.ndarr
     out["n_repeat_words"] = _per_row(covered[window], words.first)
     size = chars[words.end] - chars[words.start]
     out["repeat_chars"] = _per_row(np.where(covered[min_words], size, 0), words.first)
+    of_row = np.repeat(np.arange(rows), words.count + 1)
+    size, first = (np.fromiter((f[i] for f in found if f[0] >= min_words), np.int64) for i in (0, 1))
+    of = of_row[order[first]]
     top = np.zeros(rows, np.int64)
-    np.maximum.at(top, row[reach > 0], reach[reach > 0])
-    out["longest_repeat"] = np.where(top >= min_words, top, 0)
-    before = np.empty(len(symbols), np.uint64)
-    before[1:] = symbols[:-1]
-    before[0] = n + rows
-    found = lcp_intervals(np.where(lcp >= min_words, lcp, 0), order, before)
-    row_of = np.repeat(np.arange(rows), words.count + 1)
-    first = order[np.fromiter((f for _, f, _ in found), np.int64, len(found))]
-    out["n_maximal_repeats"] = np.bincount(row_of[first], minlength=rows)
+    np.maximum.at(top, of, size)
+    out["longest_repeat"] = top
+    out["n_maximal_repeats"] = np.bincount(of, minlength=rows)
     return out
 
 

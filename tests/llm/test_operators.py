@@ -141,8 +141,19 @@ def brute_repetition(text):
             break
         longest, k = k, k + 1
     lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    # maximal repeats by definition: found twice, and with unequal words (or none) on both sides
+    maximal, k = 0, 8
+    while k <= longest:
+        at: dict[tuple, list[int]] = {}
+        for i in range(len(words) - k + 1):
+            at.setdefault(tuple(words[i : i + k]), []).append(i)
+        for spots in at.values():
+            left = {words[i - 1] if i else None for i in spots}
+            right = {words[i + k] if i + k < len(words) else None for i in spots}
+            maximal += len(spots) > 1 and len(left) > 1 and len(right) > 1
+        k += 1
     return (
-        len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(covered(5)), sum(len(w) for w, c in zip(words, covered(8), strict=True) if c), longest,
+        len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(covered(5)), sum(len(w) for w, c in zip(words, covered(8), strict=True) if c), longest, maximal,
     )
 
 
@@ -152,7 +163,7 @@ REPETITIVE = ["a b c d e f g h i " * 5, "x\ny\nx\n \n \nx", "# <| |> é*", "to b
 def test_repetition(spark):
     rows = [(i, t) for i, t in enumerate(REPETITIVE + [t for _, t in corpus(5)])]
     out = repetition.repetition_rules(frame(spark, rows).withColumn("kept", F.lit(1))).collect()
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_chars", "longest_repeat")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_chars", "longest_repeat", "n_maximal_repeats")
     for r in out:
         assert tuple(r[n] for n in names) == brute_repetition(r["text"]), r["text"]
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
