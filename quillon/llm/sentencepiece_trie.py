@@ -6,25 +6,32 @@ are sorted, which is their trie in depth-first order: the forward states of a wo
 and its successor agree up to their common prefix and are kept on a stack, so each
 trie node is computed once.
 
-The state of a prefix depends on the model's kind.  For a unigram model it is the
-best score over all segmentations and the last piece of the best one (Viterbi).  A
-BPE model isn't maximising a sum: its segmentation of a prefix is the unique one in
-which every two neighbouring pieces, encoded alone, stay apart.  The state there is
-the last piece of that segmentation: the piece whose predecessor's state it may
-follow.  The ids agree with the sentencepiece library's in both cases.
-
-Words with several marks and marks without a word are merged step by step instead,
-as the pieces of several marks have equal scores and their order is by position.
+The state of a prefix is the best score over its segmentations and the last piece of
+the best one (Viterbi).  A segmentation's score is the sum of its pieces' scores and
+of a transition for every two neighbouring pieces.  In a unigram model transitions
+are 0.  A BPE model isn't maximising a sum of scores, but its segmentation is the one
+in which every two neighbouring pieces, encoded alone, stay apart: transitions are 0
+between such pieces and minus infinity between others, so the one segmentation with
+a finite score is best.  The ids agree with the sentencepiece library's in both cases.
+
+Words with several marks and marks without a word are merged pair by pair instead,
+from a heap, as the pieces of several marks have equal scores and their order is by
+position.
 
 Defined cases.  A null or empty text has no ids.  Characters without a piece become
 byte pieces (without byte fallback: the unknown id).  Decoding gives the text back
 but for the mark itself, U+2581, which comes back as a space as in the library.
+Repeated rows get equal ids; ties between segmentations go to the longer last piece.
+A text, word or run of spaces of any length is encoded whole, in time that grows with
+its length (by a logarithm more for runs of marks).  An empty table gives an empty
+one.  Columns named like the added ones are replaced, others pass through.
 The model must leave text as it is: identity normalisation, a dummy prefix and no
 removal of white space, or ``load`` raises ValueError.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -61,6 +68,8 @@ class Model:
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: merge the best pair, the first of equals, until none is left."""
         parts = list(text)
+        if len(parts) > 32:
+            return self._merged_long(parts)
         while len(parts) > 1:
             best, at = -np.inf, -1
             for i in range(len(parts) - 1):
@@ -72,6 +81,42 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merged_long(self, parts: list[str | None]) -> list[str]:
+        """The same from a heap of pairs; a part that was merged into the one before it is None."""
+        n, score = len(parts), self.score
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            s = score.get(parts[i] + parts[j])
+            if s is not None:
+                heapq.heappush(heap, (-s, i, len(parts[i]) + len(parts[j])))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            # parts only grow, so an unchanged size means an unchanged pair
+            if parts[i] is None or (j := after[i]) == n or len(parts[i]) + len(parts[j]) != size:
+                continue
+            parts[i] += parts[j]
+            parts[j] = None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [p for p in parts if p is not None]
+
+    def transition(self, left: str, piece: str) -> float:
+        """The score of a piece after another (or none): 0, or minus infinity where BPE would not part them there."""
+        if not self.bpe:
+            return 0.0
+        if left and left in self.score:
+            return 0.0 if self.stay_apart(left, piece) else -np.inf
+        return 0.0 if self.is_whole(piece) else -np.inf
+
     def stay_apart(self, a: str, b: str) -> bool:
         """Whether the pieces a, b are what their concatenation is merged into."""
         key = (a, b)
@@ -144,17 +189,15 @@ def shared_prefix(words: list[str], model: Model) -> list[list[str]]:
                 if s is None:
                     if end - begin > 1:
                         continue
-                    if model.bpe:  # a character without a piece merges with nothing
-                        last = piece
-                        break
-                    s = floor
-                if model.bpe:
-                    left = state[begin][1]
-                    if (model.stay_apart(left, piece) if left and left in score else model.is_whole(piece)):
-                        last = piece
+                    total = state[begin][0] + floor  # a character without a piece merges with nothing
+                else:
+                    total = state[begin][0] + s
+                    if total > best:
+                        total += model.transition(state[begin][1], piece)
+                if total > best:
+                    best, last = total, piece
+                    if model.bpe:  # no other segmentation of the prefix is finite
                         break
-                elif state[begin][0] + s > best:
-                    best, last = state[begin][0] + s, piece
             state.append((best, last))
         parts, end = [], len(word)
         while end:

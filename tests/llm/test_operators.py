@@ -8,6 +8,7 @@ import html
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -696,3 +697,27 @@ def test_token_files(spark, vocabularies, monkeypatch):
     huffman.write_token_files(frame(spark, rows), where, path)
     full = huffman.read_token_files(spark, where).collect()
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["n_tokens"] for r in full)
+
+
+def test_long_runs_are_merged_like_short_ones(vocabularies):
+    import sentencepiece
+
+    path = vocabularies.path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_trie.load(path)
+    rng = random.Random(6)
+    for text in [" " * 33, " " * 1000, "▁" * 77 + "word", " " * 40 + "a" * 90 + "  b", "".join(rng.choices("  \nab▁", k=3000)), "x" * 5000, "".join(rng.choices("etaoin shrdlu", k=4000))]:
+        ids, off = sentencepiece_trie.encode_column(pa.array([text]), path)
+        assert ids.tolist() == library.encode(text)
+    for _ in range(200):  # the heap against the definition
+        text = "▁" * rng.randint(1, 9) + "".join(rng.choices("aetnsior▁", k=rng.randint(5, 30)))
+        assert model._merged_long(list(text)) == model.merged(text[:32]) or len(text) > 32
+
+
+def test_a_megabyte_is_encoded_in_seconds(vocabularies):
+    path = vocabularies.path("piece_bpe_32k.model")
+    sentencepiece_trie.encode_column(pa.array(["warm"]), path)
+    for text in (" " * (1 << 20), "▁" * (1 << 20), "a" * (1 << 20), "ab  " * (1 << 18), "é\n" * (1 << 18)):
+        start = time.monotonic()
+        ids, off = sentencepiece_trie.encode_column(pa.array([text, None, text[:7]]), path)
+        assert sentencepiece_trie.decode_column(ids, off, path) == [text.replace("▁", " "), "", text[:7].replace("▁", " ")]
+        assert time.monotonic() - start < 40
