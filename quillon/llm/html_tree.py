@@ -32,7 +32,6 @@ is parsed whole, in time linear in its length; depth has no bound.
 from __future__ import annotations
 
 import functools
-import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,11 +44,8 @@ from . import textops as tx
 from .html_labelled import labelled_pages
 
 SLICE_BYTES = 2 << 20
-# attributes of a tag: quotes count only where a value starts, and nothing is scanned twice
-_INSIDE = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)"
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|</(?![a-zA-Z])[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)" + _INSIDE, re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|</(?![a-zA-Z])[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)" + tx.TAG_REST, re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]++)?+)?+")
-_DIGITS = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # What HTML says about its elements.
@@ -72,7 +68,7 @@ FOREIGN = ("svg", "math")
 #: What ends an unclosed svg or math, and the elements in these that hold HTML.
 BREAKS_OUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HOLDS_HTML = ("foreignobject", "desc", "annotation-xml", "mi", "mn", "mo", "ms", "mtext")
-_PAIR = re.compile(rf"<!--|<(/?)({'|'.join(sorted(RAW | PAIRED))})(?=[\s/>])" + _INSIDE, re.I)
+_PAIR = re.compile(rf"<!--|<(/?)({'|'.join(sorted(RAW | PAIRED))})(?=[\s/>])" + tx.TAG_REST, re.I)
 #: Stems in class, id and role that layouts use beside and for main text.
 BESIDE = ("nav", "menu", "head", "foot", "side", "bar", "ad", "ads", "advert", "sponsor", "promo", "banner", "cookie", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "search", "login", "form", "share", "social", "comment", "comments", "reply", "respond", "related", "widget", "breadcrumb", "breadcrumbs", "tags", "meta", "copyright", "pagination", "pager", "toolbar", "teaser", "recommended", "disclaimer", "legal", "sidebar", "footer", "header", "navigation", "masthead", "sponsored", "site")
 WITHIN = ("article", "content", "main", "post", "entry", "story", "text", "body", "prose", "article-body")
@@ -106,16 +102,6 @@ def _end(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?" if name else "-->", re.I)
 
 
-def unescape(text: str) -> str:
-    """``html.unescape``, which refuses numbers of thousands of digits: they are no character."""
-    if "&" not in text:
-        return text
-    try:
-        return html.unescape(text)
-    except ValueError:
-        return html.unescape(_DIGITS.sub("\ufffd", text))
-
-
 def _pair_ends(source: str) -> dict[int, int]:
     """Where an element of ``PAIRED`` that starts at a place and has its own end tag ends."""
     ends: dict[int, int] = {}
@@ -189,7 +175,7 @@ def parse(source: str) -> Tree:
         if stop > at:
             text = source[at:stop]
             if not text.isspace():
-                tree.texts.append((stack[-1], unescape(text), block))
+                tree.texts.append((stack[-1], tx.unescape(text), block))
             elif tree.texts:
                 tree.texts.append((stack[-1], " ", block))
         if m is None:

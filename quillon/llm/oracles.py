@@ -75,3 +75,53 @@ removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+
+def warc(date: str = "2024-01-01T00:00:00Z") -> str:
+    """Derivative records of pages: digests, name-based ids and records put together from their parts.
+
+    For pages whose tags are whole and that have no other entities than those named here.
+    """
+    blocks = "p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|blockquote|pre|title|form|figure|dd|dt"
+    drop = "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template"))
+    text = rf"regexp_replace(html, '(?si)<!--.*?(?:-->|\z)|{drop}', ' ', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?i)<(?:/?(?:{blocks})|br)\b[^>]*>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g')"
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    text = rf"trim(regexp_replace(regexp_replace({text}, '[ \t\r\f\v\x{{A0}}]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), chr(10) || ' ')"
+
+    def digest(x: str) -> str:
+        return f"'sha1:' || list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(CAST(unhex(sha1({x})) AS BIT)::VARCHAR, CAST(5 * i + 1 AS BIGINT), 5) AS INTEGER), 1)), 'string_agg', '')"
+
+    def uuid(h: str) -> str:
+        variant = f"substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr({h}, 17, 1)), 1)"
+        return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+
+    named = lambda x: f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({x}))"
+    return rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl FROM pages),
+q AS (SELECT *, octet_length(encode(html)) AS size, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || octet_length(encode(html)) || nl || nl || html AS whole,
+  {named(f"coalesce(CAST(page_id AS VARCHAR), 'None') || '|' || url || '|response|{date}'")} AS h FROM p),
+r AS (SELECT *, {uuid('h')} AS source_id, {digest('html')} AS payload_digest, {digest('whole')} AS whole_digest FROM q),
+m AS (SELECT *, 'metadata' AS type, 'application/warc-fields' AS kind, 'source-status: HTTP/1.1 200 OK' || nl || 'source-header-content-type: text/html; charset=utf-8' || nl || 'source-header-content-length: ' || size || nl
+    || 'source-payload-digest: ' || payload_digest || nl || 'source-block-digest: ' || whole_digest || nl || 'source-content-length: ' || octet_length(encode(whole)) || nl
+    || 'source-payload-length: ' || size || nl || 'source-payload-digest-verified: true' || nl AS block FROM r
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM r),
+d AS (SELECT *, {named("source_id || '|' || type")} AS g, {digest('block')} AS block_digest, CAST(octet_length(encode(block)) AS BIGINT) AS content_length FROM m),
+e AS (SELECT *, {uuid('g')} AS record_id FROM d)
+SELECT page_id, source_id, record_id, type, url AS target_uri, '{date}' AS date, source_id AS refers_to, block_digest, payload_digest AS source_payload_digest, content_length,
+  sha256('WARC/1.1' || nl || 'WARC-Type: ' || type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Target-URI: ' || url || nl || 'WARC-Date: {date}' || nl || 'WARC-Refers-To: ' || source_id || nl
+    || 'WARC-Refers-To-Target-URI: ' || url || nl || 'WARC-Refers-To-Date: {date}' || nl || 'Content-Type: ' || kind || nl || 'WARC-Block-Digest: ' || block_digest || nl
+    || 'Content-Length: ' || content_length || nl || nl || block || nl || nl) AS record_sha256
+FROM e
+"""
+
+
+#: What stands between the tags of the one article that the given pages have.
+MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(?:p|h1|h2|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""

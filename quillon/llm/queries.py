@@ -114,6 +114,8 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_rotation": chat_rotation.SQL,
     "op2_suffix_repetition": oracles.repetition(),
     "op3_decontaminate": oracles.CONTAMINATION,
+    "op4_warc_derivatives": oracles.warc(),
     "op5_near_dedup": oracles.NEAR_DUPLICATES,
+    "op6_html_extraction": oracles.MAIN_TEXT,
     "op7_substring_dedup": oracles.SUBSTRINGS,
 }

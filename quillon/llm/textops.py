@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,20 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+#: The rest of a tag after its name, as a group: quotes count only where a value starts, and nothing is scanned twice.
+TAG_REST = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)"
+_DIGITS = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
+
+
+def unescape(text: str) -> str:
+    """``html.unescape``, which refuses numbers of thousands of digits: they are no character."""
+    if "&" not in text:
+        return text
+    try:
+        return html.unescape(text)
+    except ValueError:
+        return html.unescape(_DIGITS.sub("\ufffd", text))
+
 
 def _powers_to(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i modulo 2^64 for i < n."""

@@ -8,13 +8,20 @@ digests of their own blocks.  Record ids are name-based on the source's id, so t
 same response gives the same records on every run and after a lost executor.
 
 ``parse`` reads records from the bytes of a WARC file, plain or gzip, one record per
-member or not; ``serialise`` writes one.
+member or not; ``serialise`` writes one.  ``read_records`` streams the files of a
+folder, one record in memory at a time.
 
 Defined cases.  A null or empty html is a response with an empty body: its metadata
-record says so and its conversion is empty.  A null url is an empty target URI.  A
-null page id is written as such in the record id's name.  Repeated rows give equal
-records.  A response without an HTTP head keeps its whole block as the body.  A
-body whose type isn't text has no conversion.
+record says so and its conversion is empty.  A null url is an empty target URI; line
+ends and other control characters of a url are percent-encoded.  A null page id is
+written as such in the record id's name.  A null record gives nothing.  Repeated rows
+give equal records; ties cannot arise.  An empty table gives an empty one.  Only the
+columns named are read and passed on, so others may have any name.  A text of any
+length is converted whole, in time linear in its length.  A response without an HTTP
+head keeps its whole block as the body.  A body whose type isn't text has no
+conversion.  A damaged record (a length that is no number or beyond the data, a
+gzip member that does not inflate) is left out of ``parse`` and the next one is looked
+for; ``read_records`` returns a row with its problem.
 """
 
 from __future__ import annotations
@@ -22,7 +29,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import html
 import re
 import uuid
 import zlib
@@ -37,9 +43,10 @@ from . import textops as tx
 SLICE_BYTES = 2 << 20
 VERSION = "WARC/1.1"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|blockquote|pre|title|form|figure|dd|dt)|br)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*+>|\Z)", re.S | re.I)
+_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|blockquote|pre|title|form|figure|dd|dt)|br)\b" + tx.TAG_REST, re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?]" + tx.TAG_REST)
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -59,48 +66,74 @@ def serialise(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def inflate(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members in pieces; a member that is damaged ends there and the next is looked for."""
+    view, at = memoryview(data), 0
+    while 0 <= at < len(data):
+        member, start = zlib.decompressobj(31), at
+        try:
+            while at < len(data) and not member.eof:
+                piece = view[at : at + 65536]
+                at += len(piece)
+                yield member.decompress(piece)
+                at -= len(member.unused_data)
+        except zlib.error:
+            at = data.find(b"\x1f\x8b\x08", start + 1)
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """The named fields of a record's head, names lower-cased, without its version line."""
+    out = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        out[name.decode(errors="replace").strip().lower()] = value.decode(errors="replace").strip()
+    return out
+
+
+def length_of(fields: dict[str, str]) -> int | None:
+    """The block's length, or None if what is given is no number."""
+    text = fields.get("content-length", "0")
+    return int(text) if re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The fields (names lower-cased) and block of each record. Ends at the first that is cut short."""
+    """The fields (names lower-cased) and block of each record that is whole."""
     if data[:2] == b"\x1f\x8b":
-        out, rest = b"", data
-        while rest:
-            member = zlib.decompressobj(31)
-            out += member.decompress(rest)
-            rest = member.unused_data
-        data = out
+        data = b"".join(inflate(data))
     at = 0
     while True:
         while data[at : at + 2] == b"\r\n":
             at += 2
         end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+        if end < 0:
             return
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.decode().strip().lower()] = value.decode(errors="replace").strip()
-        size = int(fields.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
+        if data.startswith(b"WARC/", at):
+            fields = fields_of(data[at:end])
+            size = length_of(fields)
+            if size is not None and end + 4 + size <= len(data):
+                yield fields, data[end + 4 : end + 4 + size]
+                at = end + 4 + size
+                continue
+        at = data.find(b"\r\n\r\nWARC/", at)  # damaged: go on with what looks like the next
+        if at < 0:
             return
-        yield fields, block
-        at = end + 4 + size
 
 
 def plain_text(source: str) -> str:
     """Visible text: no scripts, styles or comments, a line per block, spaces merged."""
     text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", source)))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text))).strip()
+    return _LINES.sub("\n", _SPACE.sub(" ", tx.unescape(text))).strip()
 
 
 def response(page_id: object, url: str | None, body: str | None, date: str) -> bytes:
     """A response record of a stored page."""
+    url = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
     payload = (body or "").encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     fields = [
         ("WARC-Type", "response"),
-        ("WARC-Record-ID", record_id(f"{page_id}|{url or ''}|response|{date}")),
-        ("WARC-Target-URI", url or ""),
+        ("WARC-Record-ID", record_id(f"{page_id}|{url}|response|{date}")),
+        ("WARC-Target-URI", url),
         ("WARC-Date", date),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", digest(payload)),
@@ -115,7 +148,7 @@ def derive(fields: dict[str, str], block: bytes) -> list[tuple[list[tuple[str, s
     if not cut or not head.startswith(b"HTTP/"):
         head, payload = b"", block
     lines = head.decode(errors="replace").split("\r\n")
-    headers = [tuple(x.strip() for x in line.split(":", 1)) for line in lines[1:] if ":" in line]
+    headers = [tuple(" ".join(x.split()) for x in line.split(":", 1)) for line in lines[1:] if ":" in line]
     kind = next((v for k, v in headers if k.lower() == "content-type"), fields.get("content-type", "")).lower()
     source = fields.get("warc-record-id", "")
     common = [
@@ -192,20 +225,62 @@ def write_records(records: DataFrame, path: str) -> None:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data in batch.column("content").to_pylist():
-            rows = [(f.get("warc-record-id"), f.get("warc-type"), f.get("warc-refers-to"), b) for f, b in parse(data)]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.binary()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "type", "refers_to", "block"])
+    """Records from what lies between separators; a block that holds separators is put together again."""
+    held, source = b"", None  # a record that still lacks some of its block
+    names = ["file", "record_id", "type", "refers_to", "block", "problem"]
+    kinds = [pa.string()] * 4 + [pa.binary(), pa.string()]
+
+    def rows(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
+
+    def record(piece: bytes, file: str | None, last: bool) -> tuple | None:
+        head, cut, block = piece.partition(b"\r\n\r\n")
+        fields = fields_of(head)
+        size = length_of(fields)
+        if cut and size is not None and len(block) < size and not last:
+            return None
+        named = [fields.get(k) for k in ("warc-record-id", "warc-type", "warc-refers-to")]
+        if not cut or size is None or len(block) < size:
+            return (file, *named, None, "no head" if not cut else "no length" if size is None else "cut short")
+        return (file, *named, block[:size], None)
+
+    for batch in tx.text_slices(batches, "content", SLICE_BYTES):
+        out = []
+        for file, piece in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            if held and file != source:
+                out.append(record(held, source, True))
+                held = b""
+            if held:
+                piece = held + SEPARATOR.encode() + piece
+            elif not piece.strip():
+                continue
+            made = record(piece, file, False)
+            held, source = (piece, file) if made is None else (b"", None)
+            if made is not None:
+                out.append(made)
+        if out:
+            yield rows(out)
+    if held:
+        yield rows([record(held, source, True)])
+
+
+#: What stands between the records of a file.
+SEPARATOR = "\r\n\r\nWARC/"
 
 
 def read_records(spark, path: str) -> DataFrame:
-    """``(record_id, type, refers_to, block)`` of all WARC files in a folder, a task per file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read, "record_id string, type string, refers_to string, block binary")
+    """``(file, record_id, type, refers_to, block, problem)`` of all WARC files in a folder.
+
+    Files are read as text parted by what ends a record and starts the next, so a plain
+    file is split between tasks, a gzip file is inflated as a stream, and no more than a
+    record is held.  A record that isn't whole has a ``problem`` and a null block; so has
+    one with a separator inside its block just where two tasks meet in a plain file.
+    """
+    pieces = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("content"))
+    return pieces.mapInArrow(_read, "file string, record_id string, type string, refers_to string, block binary, problem string")
 
 
 def member(record: bytes) -> bytes:
     """A record as a gzip member of its own."""
     return gzip.compress(record, mtime=0)
+

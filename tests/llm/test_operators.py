@@ -312,6 +312,46 @@ def test_warc_parsing():
     assert [dict(f)["WARC-Type"] for f, _ in warc.derive(fields, b"\x89PNG")] == ["metadata"]
 
 
+def test_warc_damage():
+    one, two = (warc.response(i, "u", f"body {i}", "2024-01-01T00:00:00Z") for i in (1, 2))
+    ids = lambda data: [f["warc-record-id"] for f, _ in warc.parse(data)]
+    (first,), (second,) = ids(one), ids(two)
+    size = next(x for x in one.split(b"\r\n") if x.startswith(b"Content-Length"))
+    for bad in (one.replace(size, b"Content-Length: x"), one.replace(size, b"Content-Length: 99999999"), one.replace(size, b"Content-Length: " + b"9" * 9000), b"WARC/1.1\r\n\xff\xfe: x\r\nContent-Length: ?\r\n\r\n\r\n\r\n"):
+        assert ids(bad + two) == [second] and ids(two + bad + two) == [second, second]
+    assert ids(one.replace(b"WARC-Type", b"\xff\xfe")) == [first]
+    broken = bytearray(warc.member(one))
+    broken[len(broken) // 2] ^= 0xFF
+    broken[len(broken) // 2 + 1] ^= 0xFF
+    assert ids(bytes(broken) + warc.member(two)) [-1:] == [second] and ids(warc.member(two) + bytes(broken)) == [second]
+    assert ids(warc.member(one) * 3000) == [first] * 3000
+    made = warc.response(3, "http://a/\r\nX: y z", None, "d")
+    assert next(warc.parse(made))[0]["warc-target-uri"] == "http://a/%0D%0AX:%20y%20z"
+
+
+def test_warc_text_of_a_broken_megabyte():
+    for text in ("<p " * (1 << 19), "<a" * (1 << 19), "<script>" * (1 << 17), "</script " * (1 << 17), " \n" * (1 << 19), "<!--" * (1 << 18), "&#" + "9" * (1 << 20), "<" * (1 << 20)):
+        start = time.monotonic()
+        warc.plain_text(text)
+        assert time.monotonic() - start < 10
+    assert warc.plain_text("<p title='a>b'>x &lt;y&gt; <br/>z</p  >") == "x <y>\nz"
+
+
+def test_warc_files(spark, tmp_path):
+    rows = [warc.response(i, f"http://a/{i}", "body\r\n\r\nWARC/1.1\r\nnot a record\r\n\r\n" * (i % 3) + "\xff" * i, "d") for i in range(40)]
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(b"".join(rows[:20]))
+    (folder / "b.warc.gz").write_bytes(b"".join(map(warc.member, rows[20:])))
+    (folder / "c.warc").write_bytes(rows[0] + rows[1][:-30])
+    (folder / "d.warc").write_bytes(b"")
+    out = warc.read_records(spark, str(folder)).collect()
+    want = Counter((f["warc-record-id"], b) for r in [*rows, rows[0]] for f, b in warc.parse(r))
+    assert Counter((r["record_id"], bytes(r["block"])) for r in out if r["problem"] is None) == want
+    (bad,) = (r for r in out if r["problem"])
+    assert bad["problem"] == "cut short" and bad["block"] is None and bad["file"].endswith("c.warc")
+
+
 # 5
 
 
