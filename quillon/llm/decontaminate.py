@@ -1,36 +1,41 @@
-"""Benchmark decontamination by positional postings, in DataFrame operations.
+"""Benchmark decontamination by a positional inverted index, in DataFrame operations.
 
-The training documents are tokenised once into a stored forward table ``(doc_id, h,
-tokens)``, in which a token's array position is its posting's position.  No postings
-keyed by term are stored: frequencies and the postings of chosen terms are derived
-from the forward table in every run.
+The index is a stored table of postings ``(term, doc_id, h, positions)``: every term of
+every training document with the ascending positions of its words, dealt by term.  A
+document's own row, under the empty term, holds its number of words.  Documents are
+grouped by term within their rows, so the words travel once.
 
 A test item's windows are every ``n`` consecutive words of it (all words if it has
 fewer).  Over the training frequencies of its words each window names its two
-rarest terms, with their offsets.  The postings of these terms alone are fetched;
-a posting at p of a term at item offset q lies on the diagonal p - q.  Lists of one
-document and item are intersected by diagonal: an occurrence of a window puts both
-of its rare terms on one.  The diagonals that remain are compared with the stored
-tokens word by word, which gives the exact phrase matches.
-
-Proximity has anchors of its own, as an edited copy may lack any of the words: each
+rarest words, with their offsets.  The lists of these terms are fetched first and
+adjusted by the offsets: a posting at p of a term at item offset q lies on the diagonal
+p - q, and the lists of one document and item intersect where two of them share a
+diagonal.  Only for what is left the lists of the item's other terms are intersected,
+by (document, term, position), which gives the exact phrase matches: the runs of ``n``
+offsets that are all found on one diagonal.
+
+Proximity has lists of its own, as an edited copy may lack any of the words: each
 window names the two rarest of its different terms that occur at all.  Two different
-anchor terms of an item on diagonals at most ``slop`` apart are a proximity match.
+such terms of an item on diagonals at most ``slop`` apart are a proximity match.
 
-Sizes.  What grows with the corpus is shuffled, never sent everywhere: documents'
-words, postings and candidates.  What comes from the test items is broadcast only
-while it has at most ``BROADCAST_ROWS`` rows, else joined by key.  A frequent term
-is fetched only if a window has nothing rarer.
+Sizes.  What grows with the corpus is shuffled by keys that no frequent word, document
+or item dominates: a term's postings are dealt over ``SALTS`` parts, hits go by
+(document, item).  No side is broadcast by hint; Spark does so where its own size
+estimate of a table allows.  A frequent term's lists are fetched only if a window has
+nothing rarer.
 
 Defined cases.  A null or blank text has no words: such a document has no hits,
-such an item no windows.  A null ``doc_id`` stays null.  Rows that share a ``doc_id`` are told apart by a hash of
-their text; equal rows get equal results.  A null ``item_id`` counts as the id "".
-Items that share an id count once.
+such an item no windows.  A null ``doc_id`` stays null.  Rows that share a ``doc_id``
+are told apart by a hash of their text; equal rows get equal results, a row each.  A
+null ``item_id`` counts as the id "".  Items that share an id count once.  Words of
+equal frequency are ranked by their text, then by place.  An empty table of documents
+gives an empty one; without items nothing is hit.  Texts and items of any length are
+taken whole.  Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settled, stored
@@ -38,8 +43,8 @@ from ..storage import settled, stored
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: all ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of a table made from the test items that are broadcast at most.
-BROADCAST_ROWS = 2_000_000
+#: Parts that one term's postings are dealt over.
+SALTS = 16
 #: Stands for a null document id inside the operator.
 NULL_ID = -(1 << 63)
 
@@ -49,72 +54,78 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), SEPARATORS), lambda w: w != "")
 
 
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """A stored table of the test items, marked for broadcast if it is of bounded size."""
-    table = stored(df, name)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
-def token_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored forward index ``(doc_id, h, tokens)``; ``h`` tells texts of one id apart."""
+def posting_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored postings ``(term, doc_id, h, positions)``; ``h`` tells texts of one id apart."""
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    return stored(docs.select(id_.alias("doc_id"), F.xxhash64(text_col).alias("h"), tokens(F.col(text_col)).alias("tokens")), "token-index")
+    rows = docs.select(id_.alias("doc_id"), F.xxhash64(text_col).alias("h"), tokens(F.col(text_col)).alias("w"))
+    # a document's words in order of (word, position), cut where the word changes
+    rows = rows.select("doc_id", "h", F.sort_array(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s"))
+    rows = rows.select("doc_id", "h", "s", F.expr("filter(sequence(0, size(s)), j -> j = 0 or j = size(s) or get(s, j).t <> get(s, j - 1).t)").alias("cuts"))
+    lists = F.expr("""transform(slice(cuts, 1, size(cuts) - 1), (b, k) ->
+        struct(s[b].t as term, transform(slice(s, b + 1, cuts[k + 1] - b), x -> x.i) as positions))""")
+    own = F.array(F.struct(F.lit("").alias("term"), F.array(F.size("s")).alias("positions")))
+    rows = rows.select("doc_id", "h", F.explode(F.concat(own, lists)).alias("l")).select("l.term", "doc_id", "h", "l.positions")
+    return stored(rows.repartition("term", F.pmod("doc_id", F.lit(SALTS))), "postings")
 
 
 def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every word of every item: ``(item, item_id, size, q, term, t)``; ``t`` is the term's first offset."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), tokens(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    return stored(rows.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    rows = stored(rows.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    spots = rows.select("item", "item_id", F.size("words").alias("size"), F.posexplode("words").alias("q", "term"))
+    first = spots.groupBy("item", "term").agg(F.min("q").alias("t"))
+    return stored(spots.join(first, ["item", "term"]).select("item", "item_id", "size", "q", "term", "t"), "item-words")
 
 
-def _anchors(index: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """``(term, item, q, t, need)``: the two rarest terms of every window; ``t`` numbers an item's terms."""
-    terms = _small(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    counts = index.select(F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    counts = _small(counts, "term-counts")
-    spots = items.select("item", "words", F.size("words").alias("size"), F.posexplode("words").alias("q", "term"))
-    spots = spots.select("item", "size", "q", "term", F.expr("array_position(words, term)").alias("t")).join(counts, "term", "left")
+def _anchors(index: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """``(term, item, q, t, need, phrase, near)``: the rarest terms of every window, for phrases and for proximity."""
+    terms = stored(words.select("term").distinct(), "terms")
+    counts = stored(index.join(terms, "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("df")), "term-counts")
     last = F.greatest(F.col("size") - n, F.lit(0))
     starts = F.sequence(F.greatest(F.col("q") - (n - 1), F.lit(0)), F.least(F.col("q"), last))
-    by_window = spots.withColumn("start", F.explode(starts)).groupBy("item", "start", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "q", "t"))).alias("ranked"))
+    spots = words.join(counts, "term", "left").select("item", "size", "q", "term", "t", F.coalesce("df", F.lit(0)).alias("df"), F.explode(starts).alias("start"))
+    ranked = F.sort_array(F.collect_list(F.struct("df", "term", "q", "t")))  # n words at most
+    windows = spots.groupBy("item", "start", "size").agg(ranked.alias("ranked"))
     # a window with a term that no document has cannot occur, but what is left of it can be near
-    phrase = F.filter(F.slice("ranked", 1, 2), lambda x: F.col("ranked")[0]["df"] > 0)
-    present = by_window.withColumn("near", F.filter("ranked", lambda x: x["df"] > 0))
-    other = F.filter("near", lambda x: x["t"] != F.col("near")[0]["t"])
-    chosen = F.array_union(phrase, F.concat(F.slice("near", 1, 1), F.slice(other, 1, 1)))
-    rarest = present.select("item", F.least(F.col("size"), F.lit(2)).alias("need"), F.explode(chosen).alias("a"))
-    return _small(rarest.select("a.term", "item", "a.q", "a.t", "need").distinct(), "anchors")
-
-
-def _diagonals(index: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
-    """For each document and item: candidate diagonals, and whether two terms are near each other."""
-    postings = index.select("doc_id", "h", F.posexplode("tokens").alias("p", "term"))
-    hits = postings.join(anchors, "term").select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q", "t")
-    lists = hits.groupBy("doc_id", "h", "item", "need").agg(F.sort_array(F.collect_set(F.struct("d", "q", "t"))).alias("l")).where("size(l) >= need")
-    later = F.expr(f"""filter(transform(sequence(1, size(l)), i -> struct(l[i - 1].d as d,
-        i < size(l) and l[i].d = l[i - 1].d and l[i].q <> l[i - 1].q as phrase,
-        i < size(l) and l[i].d - l[i - 1].d <= {slop} and l[i].t <> l[i - 1].t as near)), x -> x.phrase or x.near or need = 1)""")
-    found = lists.select("doc_id", "h", "item", "need", later.alias("f")).where("size(f) > 0")
-    phrase = F.expr("array_distinct(transform(filter(f, x -> x.phrase or need = 1), x -> x.d))")
-    return found.select("doc_id", "h", "item", phrase.alias("diagonals"), F.exists("f", lambda x: x["near"]).alias("near"))
-
-
-def _matches(index: DataFrame, found: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """Word positions covered by exact occurrences: ``(doc_id, h, item_id, covered)``."""
-    wanted = found.where("size(diagonals) > 0")
-    ids = stored(wanted.select("doc_id", "h").distinct(), "candidate-documents")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = index.join(F.broadcast(ids) if few else ids, ["doc_id", "h"], "left_semi").distinct()
-    lines = wanted.select("doc_id", "h", "item", F.explode("diagonals").alias("d")).join(_small(items, "item-words"), "item")
-    both = lines.join(texts, ["doc_id", "h"])
-    part = F.expr("slice(tokens, greatest(d, 0) + 1, size(words))")
-    both = both.select("doc_id", "h", "item_id", "d", "words", part.alias("part"))
-    span = F.expr("sequence(0, size(words) - 1)")
-    equal = F.transform(span, lambda q: F.expr("words")[q].eqNullSafe(F.get(F.col("part"), q + F.least(F.col("d"), F.lit(0)))) & (q + F.col("d") >= 0))
-    both = both.withColumn("equal", equal).withColumn("w", F.least(F.size("words"), F.lit(n)))
-    starts = F.expr("filter(sequence(0, size(words) - w), s -> forall(slice(equal, s + 1, w), x -> x))")
-    both = both.withColumn("starts", starts).where("size(starts) > 0")
-    covered = F.expr("array_distinct(flatten(transform(starts, s -> sequence(d + s, d + s + w - 1))))")
-    return both.select("doc_id", "h", "item_id", covered.alias("covered"))
+    windows = windows.withColumn("present", F.filter("ranked", lambda x: x["df"] > 0))
+    other = F.filter("present", lambda x: x["t"] != F.col("present")[0]["t"])
+    whole = F.filter(F.slice("ranked", 1, 2), lambda x: F.col("ranked")[0]["df"] > 0)
+    chosen = F.concat(
+        F.transform(whole, lambda x: F.struct(x["term"].alias("term"), x["q"].alias("q"), x["t"].alias("t"), F.lit(True).alias("phrase"))),
+        F.transform(F.concat(F.slice("present", 1, 1), F.slice(other, 1, 1)), lambda x: F.struct(x["term"].alias("term"), x["q"].alias("q"), x["t"].alias("t"), F.lit(False).alias("phrase"))),
+    )
+    rows = windows.select("item", F.least(F.col("size"), F.lit(2)).alias("need"), F.explode(chosen).alias("a"))
+    both = rows.groupBy("item", "need", "a.term", "a.q", "a.t").agg(F.max("a.phrase").alias("phrase"), F.max(~F.col("a.phrase")).alias("near"))
+    return stored(both, "anchors")
+
+
+def _hits(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The anchors' postings by document, item and diagonal."""
+    lists = index.join(anchors, "term").select("doc_id", "h", "item", "need", "q", "t", "phrase", "near", F.explode("positions").alias("p"))
+    return stored(lists.select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q", "t", "phrase", "near"), "hits")
+
+
+def _near(hits: DataFrame, slop: int) -> DataFrame:
+    """``(doc_id, h, item)`` of proximity matches. If any two hits are near each other, two neighbours are."""
+    rows = hits.where("near").select("doc_id", "h", "item", "d", "t").distinct()
+    order = Window.partitionBy("doc_id", "h", "item").orderBy("d", "t")
+    close = (F.col("d") - F.lag("d").over(order) <= slop) & (F.col("t") != F.lag("t").over(order))
+    return rows.select("doc_id", "h", "item", close.alias("close")).where("close").drop("close").distinct()
+
+
+def _phrases(index: DataFrame, hits: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """Exact matches: ``(doc_id, h, item_id, d, w, starts)``; a window of w words starts at each of ``starts`` of the item."""
+    lines = hits.where("phrase").groupBy("doc_id", "h", "item", "d", "need").agg(F.countDistinct("q").alias("k")).where("k >= need")
+    lines = stored(lines.select("doc_id", "h", "item", "d"), "diagonals")
+    wanted = lines.join(words, "item").select("doc_id", "h", "item", "item_id", "size", "d", "q", "term", (F.col("d") + F.col("q")).alias("p")).where("p >= 0")
+    lists = index.join(words.select("term").distinct(), "term", "left_semi").join(lines.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi")
+    lists = lists.select("doc_id", "h", "term", F.explode("positions").alias("p")).distinct()
+    found = wanted.join(lists, ["doc_id", "h", "term", "p"])
+    runs = found.groupBy("doc_id", "h", "item", "item_id", "size", "d").agg(F.sort_array(F.collect_list("q")).alias("q"))
+    runs = runs.withColumn("w", F.least(F.col("size"), F.lit(n)))
+    # offsets ascend without repeats, so w of them in a row span w - 1
+    starts = F.expr("filter(transform(sequence(1, size(q)), i -> if(i + w - 1 <= size(q) and q[i + w - 2] - q[i - 1] = w - 1, q[i - 1], -1)), x -> x >= 0)")
+    return runs.select("doc_id", "h", "item_id", "d", "w", starts.alias("starts")).where("size(starts) > 0")
 
 
 @settled("contamination")
@@ -126,17 +137,20 @@ def contamination(
     ``n_hit`` words lie in an occurrence of a window of ``n_items`` items, ``item_ids``
     sorted as strings; ``n_near`` items, ``near_ids`` sorted, have a proximity match.
     """
-    index = token_index(docs, id_col, text_col)
-    test = _items(items, item_id_col, item_text_col)
-    found = stored(_diagonals(index, _anchors(index, test, n), slop), "diagonals")
-    matches = _matches(index, found, test, n).groupBy("doc_id", "h")
-    positions = F.array_distinct(F.flatten(F.collect_list("covered")))
-    hits = matches.agg(F.size(positions).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    near = found.where("near").join(_small(test.select("item", "item_id"), "item-ids"), "item").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("near_ids"))
-    out = index.select("doc_id", "h", F.size("tokens").cast("long").alias("n_words"))
-    for side in (stored(hits, "hits"), stored(near, "near")):
-        out = out.join(side, ["doc_id", "h"], "left")
+    index = posting_index(docs, id_col, text_col)
+    words = _items(items, item_id_col, item_text_col)
+    hits = _hits(index, _anchors(index, words, n))
+    covered = F.explode(F.expr("flatten(transform(starts, s -> sequence(d + s, d + s + w - 1)))"))
+    matches = stored(_phrases(index, hits, words, n), "matches")
+    n_hit = matches.select("doc_id", "h", covered.alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
+    ids = matches.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    near = _near(hits, slop).join(words.select("item", "item_id").distinct(), "item").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("near_ids"))
+    out = index.where("term = ''").select("doc_id", "h", F.col("positions")[0].cast("long").alias("n_words"))
+    for side, name in ((n_hit, "hit-words"), (ids, "hit-items"), (near, "near-items")):
+        out = out.join(stored(side, name), ["doc_id", "h"], "left")
     none = F.array().cast("array<string>")
+    item_ids, near_ids = F.coalesce("item_ids", none), F.coalesce("near_ids", none)
     return out.select(
-        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.size(F.coalesce("near_ids", none)).cast("long").alias("n_near"), F.coalesce("near_ids", none).alias("near_ids")
-    )
+        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "h", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), F.size(near_ids).cast("long").alias("n_near"), near_ids.alias("near_ids"),
+    )

@@ -46,10 +46,24 @@ sizes AS (SELECT DISTINCT k FROM grams),
 spots AS (SELECT doc_id, i, k, array_to_string(w[i + 1:i + k], ' ') AS g FROM d, sizes, unnest(range(0, greatest(len(w) - k + 1, 0))) AS t(i)),
 found AS (SELECT doc_id, i, k, item_id FROM spots JOIN grams USING (k, g)),
 hits AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM found, unnest(range(0, k)) AS t(j) GROUP BY doc_id),
-ids AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+ids AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+post AS (SELECT doc_id, p, w[p + 1] AS term FROM d, unnest(range(0, len(w))) AS t(p)),
+tf AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+one AS (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT coalesce(item_id, '') AS item_id, w FROM b WHERE len(w) > 0)),
+spots3 AS (SELECT item, item_id, len(w) AS size, q, w[q + 1] AS term FROM one, unnest(range(0, len(w))) AS t(q)),
+wins AS (SELECT item, item_id, s, q, term, coalesce(df, 0) AS df FROM spots3 LEFT JOIN tf USING (term), unnest(range(greatest(q - 9, 0), least(q, greatest(size - 10, 0)) + 1)) AS t(s)),
+here AS (SELECT *, first(term) OVER (PARTITION BY item, s ORDER BY df, term, q) AS rarest FROM wins WHERE df > 0),
+second AS (SELECT *, row_number() OVER (PARTITION BY item, s ORDER BY df, term, q) AS r FROM here WHERE term <> rarest),
+anchors AS (
+  SELECT DISTINCT item, item_id, term, q FROM (SELECT *, row_number() OVER (PARTITION BY item, s ORDER BY df, term, q) AS r FROM here) WHERE r = 1
+  UNION SELECT DISTINCT item, item_id, term, q FROM second WHERE r = 1),
+lines AS (SELECT DISTINCT doc_id, item, item_id, p - q AS diag, term FROM post JOIN anchors USING (term)),
+close_ AS (SELECT DISTINCT doc_id, item_id FROM (
+  SELECT *, lag(diag) OVER o AS before_, lag(term) OVER o AS other FROM lines WINDOW o AS (PARTITION BY doc_id, item ORDER BY diag, term)) WHERE diag - before_ <= 20 AND term <> other),
+near_ AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS l FROM close_ GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(s.n, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN ids s USING (doc_id)
+       sha256(coalesce(s.l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, CAST(coalesce(c.n, 0) AS BIGINT) AS n_near, sha256(coalesce(c.l, '')) AS near_sha256
+FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN ids s USING (doc_id) LEFT JOIN near_ c USING (doc_id)
 """
 
 NEAR_DUPLICATES = rf"""

@@ -40,17 +40,12 @@ def maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark windows of 10 words found in every document."""
+    """Benchmark windows of 10 words found in every document, and the items whose rare words lie near each other there."""
     found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=10)
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
-
-
-def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose rare words lie near each other in every document."""
-    found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=10)
-    return found.select("doc_id", "n_words", "n_near", F.sha2(F.array_join("near_ids", ","), 256).alias("near_sha256"))
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near", F.sha2(F.array_join("near_ids", ","), 256).alias("near_sha256"),
+    )
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_suffix_repetition": op2_suffix_repetition,
     "op3_decontaminate": op3_decontaminate,
-    "op3_proximity": op3_proximity,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_near_dedup": op5_near_dedup,
     "op6_html_extraction": op6_html_extraction,
