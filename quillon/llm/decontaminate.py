@@ -1,9 +1,10 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations.
 
-The index is a stored table of postings ``(term, doc_id, h, positions)``: every term of
-every training document with the ascending positions of its words, dealt by term.  A
-document's own row, under the empty term, holds its number of words.  Documents are
-grouped by term within their rows, so the words travel once.
+The index is a stored table of postings ``(term, doc_id, h, p)``, one for every word of
+every training document.  Every part of it inverts the documents of one task: its
+postings are sorted by term, so a term's list is contiguous in each part and no frequent
+term's list is in one place.  Nothing is shuffled to build it, and parts are read by
+term ranges.  A document's own posting, under the empty term, holds its number of words.
 
 A test item's windows are every ``n`` consecutive words of it (all words if it has
 fewer).  Over the training frequencies of its words each window names its two
@@ -18,9 +19,7 @@ Proximity has lists of its own, as an edited copy may lack any of the words: eac
 window names the two rarest of its different terms that occur at all.  Two different
 such terms of an item on diagonals at most ``slop`` apart are a proximity match.
 
-Sizes.  What grows with the corpus is shuffled by keys that no frequent word, document
-or item dominates: a term's postings are dealt over ``SALTS`` parts, hits go by
-(document, item).  No side is broadcast by hint; Spark does so where its own size
+Sizes.  What is fetched of the index is shuffled by (document, item).  No side is broadcast by hint; Spark does so where its own size
 estimate of a table allows.  A frequent term's lists are fetched only if a window has
 nothing rarer.
 
@@ -43,8 +42,6 @@ from ..storage import settled, stored
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: all ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Parts that one term's postings are dealt over.
-SALTS = 16
 #: Stands for a null document id inside the operator.
 NULL_ID = -(1 << 63)
 
@@ -55,17 +52,13 @@ def tokens(text: Column) -> Column:
 
 
 def posting_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored postings ``(term, doc_id, h, positions)``; ``h`` tells texts of one id apart."""
+    """The stored postings ``(term, doc_id, h, p)``; ``h`` tells texts of one id apart."""
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     rows = docs.select(id_.alias("doc_id"), F.xxhash64(text_col).alias("h"), tokens(F.col(text_col)).alias("w"))
-    # a document's words in order of (word, position), cut where the word changes
-    rows = rows.select("doc_id", "h", F.sort_array(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s"))
-    rows = rows.select("doc_id", "h", "s", F.expr("filter(sequence(0, size(s)), j -> j = 0 or j = size(s) or get(s, j).t <> get(s, j - 1).t)").alias("cuts"))
-    lists = F.expr("""transform(slice(cuts, 1, size(cuts) - 1), (b, k) ->
-        struct(s[b].t as term, transform(slice(s, b + 1, cuts[k + 1] - b), x -> x.i) as positions))""")
-    own = F.array(F.struct(F.lit("").alias("term"), F.array(F.size("s")).alias("positions")))
-    rows = rows.select("doc_id", "h", F.explode(F.concat(own, lists)).alias("l")).select("l.term", "doc_id", "h", "l.positions")
-    return stored(rows.repartition("term", F.pmod("doc_id", F.lit(SALTS))), "postings")
+    own = F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("p")))
+    words = F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("p")))
+    rows = rows.select("doc_id", "h", F.explode(F.concat(own, words)).alias("l")).select("l.term", "doc_id", "h", "l.p")
+    return stored(rows.sortWithinPartitions("term"), "postings")
 
 
 def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,7 +73,7 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _anchors(index: DataFrame, words: DataFrame, n: int) -> DataFrame:
     """``(term, item, q, t, need, phrase, near)``: the rarest terms of every window, for phrases and for proximity."""
     terms = stored(words.select("term").distinct(), "terms")
-    counts = stored(index.join(terms, "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("df")), "term-counts")
+    counts = stored(index.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "term-counts")
     last = F.greatest(F.col("size") - n, F.lit(0))
     starts = F.sequence(F.greatest(F.col("q") - (n - 1), F.lit(0)), F.least(F.col("q"), last))
     spots = words.join(counts, "term", "left").select("item", "size", "q", "term", "t", F.coalesce("df", F.lit(0)).alias("df"), F.explode(starts).alias("start"))
@@ -101,8 +94,7 @@ def _anchors(index: DataFrame, words: DataFrame, n: int) -> DataFrame:
 
 def _hits(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """The anchors' postings by document, item and diagonal."""
-    lists = index.join(anchors, "term").select("doc_id", "h", "item", "need", "q", "t", "phrase", "near", F.explode("positions").alias("p"))
-    return stored(lists.select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q", "t", "phrase", "near"), "hits")
+    return stored(index.join(anchors, "term").select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q", "t", "phrase", "near"), "hits")
 
 
 def _near(hits: DataFrame, slop: int) -> DataFrame:
@@ -119,8 +111,7 @@ def _phrases(index: DataFrame, hits: DataFrame, words: DataFrame, n: int) -> Dat
     lines = stored(lines.select("doc_id", "h", "item", "d"), "diagonals")
     wanted = lines.join(words, "item").select("doc_id", "h", "item", "item_id", "size", "d", "q", "term", (F.col("d") + F.col("q")).alias("p")).where("p >= 0")
     lists = index.join(words.select("term").distinct(), "term", "left_semi").join(lines.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi")
-    lists = lists.select("doc_id", "h", "term", F.explode("positions").alias("p")).distinct()
-    found = wanted.join(lists, ["doc_id", "h", "term", "p"])
+    found = wanted.join(lists.distinct(), ["doc_id", "h", "term", "p"])
     runs = found.groupBy("doc_id", "h", "item", "item_id", "size", "d").agg(F.sort_array(F.collect_list("q")).alias("q"))
     runs = runs.withColumn("w", F.least(F.col("size"), F.lit(n)))
     # offsets ascend without repeats, so w of them in a row span w - 1
@@ -145,7 +136,7 @@ def contamination(
     n_hit = matches.select("doc_id", "h", covered.alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
     ids = matches.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     near = _near(hits, slop).join(words.select("item", "item_id").distinct(), "item").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("near_ids"))
-    out = index.where("term = ''").select("doc_id", "h", F.col("positions")[0].cast("long").alias("n_words"))
+    out = index.where("term = ''").select("doc_id", "h", F.col("p").cast("long").alias("n_words"))
     for side, name in ((n_hit, "hit-words"), (ids, "hit-items"), (near, "near-items")):
         out = out.join(stored(side, name), ["doc_id", "h"], "left")
     none = F.array().cast("array<string>")
