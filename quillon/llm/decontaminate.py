@@ -1,10 +1,11 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations.
 
-The index is a stored table of postings ``(term, doc_id, h, p)``, one for every word of
-every training document.  Every part of it inverts the documents of one task: its
-postings are sorted by term, so a term's list is contiguous in each part and no frequent
-term's list is in one place.  Nothing is shuffled to build it, and parts are read by
-term ranges.  A document's own posting, under the empty term, holds its number of words.
+The index is a stored table of postings ``(k, term, doc_id, h, p)``, one for every word
+of every training document.  Every part of it inverts the documents of one task: its
+postings are sorted by ``k``, a hash of the term, so a term's list is contiguous in each
+part and no frequent term's list is in one place.  Nothing is shuffled to build it.  A
+document's own posting, under the empty term and the lowest ``k``, holds its number of
+words.
 
 A test item's windows are every ``n`` consecutive words of it (all words if it has
 fewer).  Over the training frequencies of its words each window names its two
@@ -42,6 +43,8 @@ from ..storage import settled, stored
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: all ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The ``k`` of documents' own postings.
+LOWEST = -(1 << 31)
 #: Stands for a null document id inside the operator.
 NULL_ID = -(1 << 63)
 
@@ -52,13 +55,14 @@ def tokens(text: Column) -> Column:
 
 
 def posting_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored postings ``(term, doc_id, h, p)``; ``h`` tells texts of one id apart."""
+    """The stored postings ``(k, term, doc_id, h, p)``; ``h`` tells texts of one id apart."""
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     rows = docs.select(id_.alias("doc_id"), F.xxhash64(text_col).alias("h"), tokens(F.col(text_col)).alias("w"))
     own = F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("p")))
     words = F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("p")))
     rows = rows.select("doc_id", "h", F.explode(F.concat(own, words)).alias("l")).select("l.term", "doc_id", "h", "l.p")
-    return stored(rows.sortWithinPartitions("term"), "postings")
+    k = F.when(F.col("term") == "", LOWEST).otherwise(F.hash("term")).alias("k")
+    return stored(rows.select(k, "*").sortWithinPartitions("k"), "postings")
 
 
 def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,7 +140,7 @@ def contamination(
     n_hit = matches.select("doc_id", "h", covered.alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
     ids = matches.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     near = _near(hits, slop).join(words.select("item", "item_id").distinct(), "item").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("near_ids"))
-    out = index.where("term = ''").select("doc_id", "h", F.col("p").cast("long").alias("n_words"))
+    out = index.where((F.col("k") == LOWEST) & (F.col("term") == "")).select("doc_id", "h", F.col("p").cast("long").alias("n_words"))
     for side, name in ((n_hit, "hit-words"), (ids, "hit-items"), (near, "near-items")):
         out = out.join(stored(side, name), ["doc_id", "h"], "left")
     none = F.array().cast("array<string>")
