@@ -61,8 +61,13 @@ def posting_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("p")))
     words = F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("p")))
     rows = rows.select("doc_id", "h", F.explode(F.concat(own, words)).alias("l")).select("l.term", "doc_id", "h", "l.p")
-    k = F.when(F.col("term") == "", LOWEST).otherwise(F.hash("term")).alias("k")
-    return stored(rows.select(k, "*").sortWithinPartitions("k"), "postings")
+    k = F.when(F.col("term") == "", LOWEST).otherwise(F.hash("term"))
+    return stored(rows.select(k.alias("k"), "*").sortWithinPartitions("k"), "postings")
+
+
+def _of(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings that may be of ``terms``, by the number ``k`` alone; what follows compares the terms."""
+    return index.join(terms.select(F.hash("term").alias("k")).distinct(), "k", "left_semi")
 
 
 def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,7 +82,7 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _anchors(index: DataFrame, words: DataFrame, n: int) -> DataFrame:
     """``(term, item, q, t, need, phrase, near)``: the rarest terms of every window, for phrases and for proximity."""
     terms = stored(words.select("term").distinct(), "terms")
-    counts = stored(index.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "term-counts")
+    counts = stored(_of(index, terms).groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi"), "term-counts")
     last = F.greatest(F.col("size") - n, F.lit(0))
     starts = F.sequence(F.greatest(F.col("q") - (n - 1), F.lit(0)), F.least(F.col("q"), last))
     spots = words.join(counts, "term", "left").select("item", "size", "q", "term", "t", F.coalesce("df", F.lit(0)).alias("df"), F.explode(starts).alias("start"))
@@ -98,7 +103,7 @@ def _anchors(index: DataFrame, words: DataFrame, n: int) -> DataFrame:
 
 def _hits(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """The anchors' postings by document, item and diagonal."""
-    return stored(index.join(anchors, "term").select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q", "t", "phrase", "near"), "hits")
+    return stored(_of(index, anchors).join(anchors, "term").select("doc_id", "h", "item", "need", (F.col("p") - F.col("q")).alias("d"), "q", "t", "phrase", "near"), "hits")
 
 
 def _near(hits: DataFrame, slop: int) -> DataFrame:
@@ -125,21 +130,23 @@ def _phrases(index: DataFrame, hits: DataFrame, words: DataFrame, n: int) -> Dat
 
 @settled("contamination")
 def contamination(
-    docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", proximity: bool = True
 ) -> DataFrame:
     """For each row of ``docs``: ``doc_id, h, n_words, n_hit, n_items, item_ids, n_near, near_ids``.
 
     ``n_hit`` words lie in an occurrence of a window of ``n_items`` items, ``item_ids``
     sorted as strings; ``n_near`` items, ``near_ids`` sorted, have a proximity match.
+    Without ``proximity`` it isn't looked for, and the last two are 0 and empty.
     """
     index = posting_index(docs, id_col, text_col)
     words = _items(items, item_id_col, item_text_col)
-    hits = _hits(index, _anchors(index, words, n))
+    anchors = _anchors(index, words, n)
+    hits = _hits(index, anchors if proximity else anchors.where("phrase"))
     covered = F.explode(F.expr("flatten(transform(starts, s -> sequence(d + s, d + s + w - 1)))"))
     matches = stored(_phrases(index, hits, words, n), "matches")
     n_hit = matches.select("doc_id", "h", covered.alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
     ids = matches.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    near = _near(hits, slop).join(words.select("item", "item_id").distinct(), "item").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("near_ids"))
+    near = _near(hits if proximity else hits.limit(0), slop).join(words.select("item", "item_id").distinct(), "item").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("near_ids"))
     out = index.where((F.col("k") == LOWEST) & (F.col("term") == "")).select("doc_id", "h", F.col("p").cast("long").alias("n_words"))
     for side, name in ((n_hit, "hit-words"), (ids, "hit-items"), (near, "near-items")):
         out = out.join(stored(side, name), ["doc_id", "h"], "left")

@@ -8,17 +8,19 @@ sorted and the first of each kind (smallest document id, then smallest start)
 stays; all later ones are reported and the words they cover removed.
 
 Skew.  Equal packed strings within a slice of input are sent once: all but the
-first are repeats, whatever else the corpus holds.  Minimisers with an outsized
-share of the strings (at most ``2 * partitions`` of them can exist) are found in a
-first pass; their windows travel one by one, dealt by the hash of the whole
-window.  A bucket is read in parts of bounded size.
+first are repeats, whatever else the corpus holds.  A first pass sums the bytes of
+every minimiser's strings.  Those with more than a part holds are hot: their windows
+travel one by one, dealt by the hash of the whole window.  The first pass also sets
+the numbers of partitions and of buckets in each, so that neither grows with the
+input: a task takes its buckets one after another and holds one at a time.
 
 Defined cases.  A null or blank text has no words.  Texts of fewer than ``k``
-words have no windows.  A null id sorts before all others and is treated as one
-id.  Rows that share an id and a text are the same document: neither is earlier
-than the other, so both keep what one would keep.  Rows that share an id but
-differ in text are separate; windows at equal starts are then both kept.
-Columns named like the ones added are replaced.
+words have no windows; a text of any length is read whole.  A null id sorts before
+all others and is treated as one id.  Rows that share an id and a text are the same
+document: neither is earlier than the other, so both keep what one would keep.  Rows
+that share an id but differ in text are separate; windows at equal starts (a tie)
+are then both kept.  An empty table gives an empty one.  Columns named like the ones
+added are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -40,8 +42,12 @@ SLICE_BYTES = 2 << 20
 MAX_RUN = 256
 #: Text bytes that a bucket sorts at once.
 PART_BYTES = 6 << 20
+#: Bytes of strings that a bucket and a partition are to hold, and that make a minimiser hot.
+BUCKET_BYTES, PARTITION_BYTES, HOT_BYTES = 24 << 20, 256 << 20, 8 << 20
+#: Hot minimisers there can be: each has over this share of all bytes.
+HOT_KEYS = 4_000_000
 _NULL_ID = -(1 << 63)
-_FIELDS = (("doc", np.int64), ("crc", np.uint32), ("start", np.int32), ("words", np.int32), ("size", np.int32), ("sub", np.uint8))
+_FIELDS = (("doc", np.int64), ("crc", np.uint32), ("start", np.int32), ("words", np.int32), ("size", np.int32), ("sub", np.uint16))
 _REPEATS = "doc_id long, crc long, start int, n int"
 
 
@@ -96,37 +102,34 @@ class _Runs:
         self.content = tx.span_hashes(hashes, self.start, self.stop + k - 1)
 
 
-def _heavy(batches: Iterator[pa.RecordBatch], k: int, m: int, share: float) -> Iterator[pa.RecordBatch]:
-    """For each slice: the number of its distinct strings, and the minimisers with over half the share."""
+def _weights(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
+    """For each slice and minimiser the bytes of its distinct strings, with what travels beside each."""
     for batch in tx.text_slices(batches, "text", SLICE_BYTES):
         runs = _Runs(batch, k, m, np.zeros(0, np.uint64))
         if not len(runs.start):
             continue
         _, first = np.unique(runs.content, return_index=True)
-        keys, counts = np.unique(runs.key[first], return_counts=True)
-        some = counts > max(1, share / 2 * len(first))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *keys[some].astype(np.int64).tolist()], pa.int64()), pa.array([len(first), *counts[some].tolist()], pa.int64())], ["key", "n"]
-        )
-
-
-def _heavy_keys(docs: DataFrame, k: int, m: int, partitions: int) -> np.ndarray:
-    """Minimisers that hold over 1 / partitions of all strings.
-
-    Each is over half that share in enough slices, so what slices report suffices.
-    """
-    share = 1 / max(16, partitions)
-    found = docs.mapInArrow(lambda it: tx.lean(_heavy(it, k, m, share)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # one job: the null key's row, which comes first, is the total
-    top = found.orderBy(F.col("key").isNotNull(), F.desc("n"), "key").limit(4 * max(16, partitions) + 1).collect()
-    if not top or top[0]["key"] is not None:
-        return np.zeros(0, np.uint64)
-    total = top[0]["n"]
-    keys = [r["key"] for r in top[1:] if r["n"] > share / 2 * total]
-    return np.sort(np.array(keys, np.int64).astype(np.uint64))
-
-
-def _send(batches: Iterator[pa.RecordBatch], k: int, m: int, partitions: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = runs.words.end[runs.stop[first] + k - 2] - runs.words.start[runs.start[first]] + 40
+        keys, at = np.unique(runs.key[first], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.bincount(at, size).astype(np.int64))], ["key", "n"])
+
+
+def _plan(docs: DataFrame, k: int, m: int, partitions: int) -> tuple[np.ndarray, int, int]:
+    """The hot minimisers, the number of partitions, and of buckets in each."""
+    weights = docs.mapInArrow(lambda it: tx.lean(_weights(it, k, m)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # light minimisers are summed up by 64 numbers, so that one pass gives the total, too
+    light = F.col("n") < HOT_BYTES // 256
+    weights = weights.groupBy(light.alias("light"), F.when(light, F.pmod("key", F.lit(64))).otherwise(F.col("key")).alias("key")).agg(F.sum("n").alias("n"))
+    weights = stored(weights, "minimiser-weights")
+    total = weights.agg(F.sum("n")).first()[0] or 0
+    partitions = max(partitions, -(-total // PARTITION_BYTES))
+    buckets = max(1, -(-total // (partitions * BUCKET_BYTES)))
+    least = max(min(HOT_BYTES, total // max(16, partitions)), HOT_BYTES // 256, total // HOT_KEYS)
+    hot = weights.where((~F.col("light")) & (F.col("n") > least)).select("key").toArrow().column("key").to_numpy()
+    return np.sort(hot.astype(np.int64).astype(np.uint64)), partitions, buckets
+
+
+def _send(batches: Iterator[pa.RecordBatch], k: int, m: int, partitions: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed strings by bucket, and the repeats that a slice shows by itself."""
     for batch in tx.text_slices(batches, "text", SLICE_BYTES):
         runs = _Runs(batch, k, m, hot)
@@ -160,24 +163,27 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, m: int, partitions: int, ho
         if len(again):
             spread = int(doc[again[0]]) % partitions
             columns = {"doc": doc[again], "crc": crc[runs.row[again]], "start": start[again], "words": number[again], "size": np.zeros(len(again)), "sub": np.zeros(len(again))}
-            out_part.append((spread, True))
+            out_part.append((spread, -1))
             out_blob.append(_pack(columns, np.zeros(0, np.uint8)))
 
         chosen = np.flatnonzero(sent)
         key = runs.key[chosen]
         part = (key >> np.uint64(20)) % np.uint64(partitions)
-        sub = (key & np.uint64(255)).astype(np.uint8)
-        order = np.lexsort((sub, part))
-        chosen, part, sub = chosen[order], part[order], sub[order]
-        cuts = np.append(np.flatnonzero(np.diff(part, prepend=part[0] + np.uint64(1)) != 0), len(part))
+        bucket = (tx.mix(key, 31) >> np.uint64(32)) % np.uint64(buckets)
+        sub = (key & np.uint64(0xFFFF)).astype(np.uint16)
+        order = np.lexsort((sub, bucket, part))
+        chosen, part, bucket, sub = chosen[order], part[order], bucket[order], sub[order]
+        new = np.ones(len(part), bool)
+        new[1:] = (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])
+        cuts = np.append(np.flatnonzero(new), len(part))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             pick = chosen[lo:hi]
             packed, _ = tx.gather(text, at[pick], size[pick])
             columns = {"doc": doc[pick], "crc": crc[runs.row[pick]], "start": start[pick], "words": number[pick] + k - 1, "size": size[pick], "sub": sub[lo:hi]}
-            out_part.append((int(part[lo]), False))
+            out_part.append((int(part[lo]), int(bucket[lo])))
             out_blob.append(_pack(columns, packed))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in out_part], pa.int32()), pa.array([d for _, d in out_part]), pa.array(out_blob, pa.binary())], ["part", "done", "blob"]
+            [pa.array([p for p, _ in out_part], pa.int32()), pa.array([b for _, b in out_part], pa.int32()), pa.array(out_blob, pa.binary())], ["part", "bucket", "blob"]
         )
 
 
@@ -236,24 +242,16 @@ def _judge(columns: dict[str, np.ndarray], text: np.ndarray, k: int) -> pa.Recor
     return _rows(doc[string[rows[first]]], crc[string[rows[first]]], place[rows[first]], n)
 
 
-def _receive(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Judge the bucket of this task. Holds its strings compressed, and a bounded part of them unpacked."""
-    blobs: list[bytes] = []
-    for batch in batches:
-        for done, blob in zip(batch.column("done").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            if done:
-                c, _ = _unpack(blob)
-                yield _rows(c["doc"], c["crc"], c["start"], c["words"])
-            else:
-                blobs.append(blob)
+def _judge_bucket(blobs: list[bytes], k: int) -> Iterator[pa.RecordBatch]:
+    """Judge one bucket, in parts of bounded size if it is larger than planned."""
     total = sum(zstandard.frame_content_size(b) for b in blobs)
-    parts = min(256, max(1, -(-total // PART_BYTES)))
+    parts = min(1 << 16, -(-total // PART_BYTES))  # a sub number each at most; more than one of it is hot
     for p in range(parts):
-        lo, hi = -(-p * 256 // parts), -(-(p + 1) * 256 // parts)
+        lo, hi = -(-(p << 16) // parts), -(-((p + 1) << 16) // parts)
         pieces, texts = [], []
         for blob in blobs:
             c, text = _unpack(blob)
-            a, b = np.searchsorted(c["sub"], [lo, hi]) if hi < 256 else (np.searchsorted(c["sub"], lo), len(c["sub"]))
+            a, b = np.searchsorted(c["sub"].astype(np.int64), [lo, hi])
             if a < b:
                 off = np.concatenate([[0], np.cumsum(c["size"], dtype=np.int64)])
                 pieces.append({name: c[name][a:b].copy() for name, _ in _FIELDS})
@@ -264,6 +262,23 @@ def _receive(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
                 yield out
 
 
+def _receive(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Judge the buckets of this task, which come one after another."""
+    blobs: list[bytes] = []
+    now = -1
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+            if bucket < 0:
+                c, _ = _unpack(blob.as_py())
+                yield _rows(c["doc"], c["crc"], c["start"], c["words"])
+                continue
+            if bucket != now:
+                yield from _judge_bucket(blobs, k)
+                blobs, now = [], bucket
+            blobs.append(blob.as_py())
+    yield from _judge_bucket(blobs, k)
+
+
 def repeated_windows(docs: DataFrame, k: int = 20, m: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every window that starts earlier elsewhere, as runs ``(doc_id, crc, start, n)``.
 
@@ -273,9 +288,10 @@ def repeated_windows(docs: DataFrame, k: int = 20, m: int = 4, id_col: str = "do
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hot = _heavy_keys(slim, k, m, partitions)
-    sent = slim.mapInArrow(lambda it: tx.lean(_send(it, k, m, partitions, hot)), "part int, done boolean, blob binary")
-    return sent.repartitionById(partitions, F.col("part")).mapInArrow(lambda it: tx.lean(_receive(it, k)), _REPEATS)
+    hot, partitions, buckets = _plan(slim, k, m, partitions)
+    sent = slim.mapInArrow(lambda it: tx.lean(_send(it, k, m, partitions, buckets, hot)), "part int, bucket int, blob binary")
+    dealt = sent.repartitionById(partitions, F.col("part")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lambda it: tx.lean(_receive(it, k)), _REPEATS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], k: int, column: str) -> Iterator[pa.RecordBatch]:

@@ -569,6 +569,17 @@ def test_substring_dedup_with_a_hot_passage(spark):
     assert substring_dedup.dedup_substrings(empty).collect() == []
 
 
+def test_substring_dedup_with_hot_minimisers_and_many_buckets(spark, monkeypatch):
+    for name, value in (("HOT_BYTES", 1 << 13), ("BUCKET_BYTES", 1 << 12), ("PARTITION_BYTES", 1 << 16)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c d e f"], k=80))) for i in range(250)]
+    hot, partitions, buckets = substring_dedup._plan(frame(spark, rows), 20, 4, 2)
+    assert len(hot) and partitions > 2 and buckets > 1
+    out = substring_dedup.dedup_substrings(frame(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert Counter(map(tuple, out)) == brute_windows(rows, 20)
+
+
 def test_bucket_parts_and_hash_clashes(monkeypatch):
     rng = random.Random(1)
     rows = [(d, " ".join(rng.choices("abc", k=60))) for d in range(40)]
@@ -579,9 +590,11 @@ def test_bucket_parts_and_hash_clashes(monkeypatch):
             monkeypatch.setattr(substring_dedup.tx, "span_hashes", lambda v, s, e, which=0: np.zeros(len(s), np.uint64) if which == 1 else real(v, s, e, which))
         batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
         parts: dict[int, list] = {}
-        for b in substring_dedup._send(iter([batch]), 6, 2, 3, np.zeros(0, np.uint64)):
+        for b in substring_dedup._send(iter([batch]), 6, 2, 3, 4, np.zeros(0, np.uint64)):
             for i in range(b.num_rows):
                 parts.setdefault(b.column("part")[i].as_py(), []).append(b.slice(i, 1))
+        for pieces in parts.values():
+            pieces.sort(key=lambda x: x.column("bucket")[0].as_py())
         gone = {d: set() for d, _ in rows}
         for pieces in parts.values():
             for b in substring_dedup._receive(iter(pieces), 6):
