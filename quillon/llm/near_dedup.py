@@ -17,17 +17,21 @@ Verification.  No bucket is expanded into all its pairs.  Every bucket compares
 pivot (the class that shares most buckets, the smallest id on a tie) with its
 members, on full sets; components follow from the links found.  Two candidates that
 are not the pivot were both compared with the pivot of a bucket they share.  So what
-is left to compare are members of different components in the group of one pivot.
-The members outside of the group's largest component are dealt into chunks of
-bounded size, and each chunk is compared with all others by a product of
-token matrices in one task, which returns links only.  Every candidate pair is thus
-connected or refuted; groups of copies, which are one component after the first
-step, need no second.
+is left to compare are members of different components in the group of one pivot, and
+of these only such whose sizes allow the similarity.  A group is cut into classes of
+size, of which only equal and neighbouring ones can hold similar sets.  The members
+outside of the group's largest component are dealt into chunks of bounded size within
+their class, and each chunk is compared with the others by a product of token matrices
+in one task, which returns links only.  Every candidate pair is thus connected or
+refuted; groups of copies, which are one component after the first step, need no second.
 
 Defined cases.  A null or blank text has an empty set and is linked with nothing.
-A text of fewer words than a shingle is one shingle, its whole word sequence.  A
-row with a null id is linked with nothing, its ``component_id`` is null and it is
-kept.  Rows that share an id are one vertex: a link of either text links the id.
+A text of fewer words than a shingle is one shingle, its whole word sequence; a text of
+any length is read whole.  A row with a null id is linked with nothing, its
+``component_id`` is null and it is kept.  Repeated rows are of one component and all
+kept or none.  Rows that share an id are one vertex: a link of either text links the id.
+Ties between pivots go to the smallest id.  An empty table gives an empty one.  Only
+the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -132,25 +136,24 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for batch in tx.text_slices(batches, "text", SLICE_BYTES):
         found, off = shingle_sets(batch.column("text"), size)
         lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(found.astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off).astype(np.int64)), lists], ["doc_id", "n", "shingles"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    # sizes alone rule out pairs whose smaller set is too small
-    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
+def _links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Sizes are compared before any set is fetched."""
+    n = lambda name, size: sizes.select(F.col("rep").alias(name), F.col("n").alias(size))
+    full = lambda name, size, x: sets.select(F.col("doc_id").alias(name), F.col("n").alias(size), F.col("shingles").alias(x))
+    sized = pairs.join(n("a", "m"), "a").join(n("b", "n"), "b").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
     both = F.size(F.array_intersect("x", "y"))
-    return sized.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b").distinct()
+    joined = sized.join(full("a", "m", "x"), ["a", "m"]).join(full("b", "n", "y"), ["b", "n"]).withColumn("both", both)
+    return joined.where(100 * F.col("both") >= percent * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b").distinct()
 
 
 def _compare(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the two chunks of a block, or within its one chunk, across components."""
+    """Links between the two sides of a block, or within its one side, across components."""
     table = table.combine_chunks()
-    rep, part, component = (table.column(c).to_numpy() for c in ("rep", "c", "component"))
-    low = np.flatnonzero(part == table.column("i")[0].as_py())
-    high = np.flatnonzero(part == table.column("j")[0].as_py())
+    rep, component, side = (table.column(c).to_numpy() for c in ("rep", "component", "side"))
+    low, high = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: on both sides
     lists = table.column("shingles")
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -177,33 +180,42 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _rest(compared: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(compared: DataFrame, label: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components in one pivot's group."""
-    sized = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"))
-    rows = compared.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sized, "rep")
-    rows = stored(rows, "group-rows")
-    count = [F.count("*").alias("k"), F.sum("n").alias("total")]
-    by_part = rows.groupBy("pivot", "component").agg(*count)
-    # the largest component of each group, and the rest's size
-    groups = by_part.groupBy("pivot").agg(F.max(F.struct("k", "total", "component")).alias("most"), F.sum("k").alias("k"), F.sum("total").alias("total"), F.count("*").alias("parts"))
-    chunks = lambda k, total: F.ceil(F.greatest(k / CHUNK_ROWS, total / CHUNK_TOKENS)).cast("int")
-    groups = groups.where("parts > 1").select(
-        "pivot",
-        F.col("most.component").alias("main"),
-        chunks(F.col("k") - F.col("most.k"), F.col("total") - F.col("most.total")).alias("x"),
-        chunks(F.col("most.k"), F.col("most.total")).alias("y"),
-    )
-    rows = rows.join(stored(groups, "open-groups"), "pivot")
-    spread = F.xxhash64("rep", F.lit(3))
-    chunk = F.when(F.col("component") == F.col("main"), F.col("x") + F.pmod(spread, "y")).otherwise(F.pmod(spread, "x")).cast("int")
-    rows = rows.withColumn("c", chunk)
-    # a chunk i of the rest meets every chunk j >= i
-    first = F.transform(F.sequence(F.lit(0), F.least(F.col("c"), F.col("x") - 1)), lambda i: F.struct(i.alias("i"), F.col("c").alias("j")))
-    later = F.when((F.col("c") < F.col("x")) & (F.col("c") + 1 < F.col("x") + F.col("y")), F.sequence(F.col("c") + 1, F.col("x") + F.col("y") - 1)).otherwise(F.array().cast("array<int>"))
-    later = F.transform(later, lambda j: F.struct(F.col("c").alias("i"), j.alias("j")))
-    blocks = rows.select("pivot", "rep", "component", "c", F.explode(F.concat(first, later)).alias("block")).select("*", "block.i", "block.j").drop("block")
-    full = blocks.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    return full.groupBy("pivot", "i", "j").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct()
+    rows = compared.join(label.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sizes, "rep")
+    # sets whose sizes differ by more than a class can't be similar enough
+    rows = stored(rows.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.1 / percent))).cast("int")), "group-rows")
+    by_part = rows.groupBy("pivot", "component").agg(F.count("*").alias("k"))
+    # the largest component of each group
+    groups = by_part.groupBy("pivot").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(stored(groups.select("pivot", F.col("most.component").alias("main")), "open-groups"), "pivot").withColumn("in_main", F.col("component") == F.col("main"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("n") / CHUNK_TOKENS)).cast("int")
+    by_level = rows.groupBy("pivot", "in_main", "level").agg(chunks.alias("chunks"))
+    # chunks of each level, of the rest and of the main component: at most a hundred levels
+    counts = by_level.groupBy("pivot").agg(*(F.map_from_entries(F.collect_list(F.when(cond, F.struct("level", "chunks")))).alias(name) for name, cond in (("rest", ~F.col("in_main")), ("mains", F.col("in_main")))))
+    rows = rows.join(stored(counts, "chunk-counts"), "pivot")
+    own = F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rest"))[F.col("level")]
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("rep", F.lit(3)), own).cast("int"))
+    # blocks (kind, level and chunk of the rest, level and chunk of the other) that a row is in, and its side
+    levels, none = F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1), F.array().cast("array<int>")
+
+    def numbers(counts: str, level):
+        n = F.col(counts)[level]
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
+
+    def block(kind: int, l1, c1, l2, c2, side):
+        return F.struct(F.lit(kind).alias("kind"), l1.alias("l1"), c1.alias("c1"), l2.alias("l2"), c2.alias("c2"), side.cast("int").alias("side"))
+
+    level, c = F.col("level"), F.col("c")
+    same = F.transform(numbers("rest", level), lambda j: block(0, level, F.least(c, j), level, F.greatest(c, j), F.when(j == c, 0).when(c < j, 1).otherwise(2)))
+    above = F.transform(numbers("rest", level + 1), lambda j: block(0, level, c, level + 1, j, F.lit(1)))
+    below = F.transform(numbers("rest", level - 1), lambda j: block(0, level - 1, j, level, c, F.lit(2)))
+    to_main = F.flatten(F.transform(levels, lambda l: F.transform(numbers("mains", l), lambda j: block(1, level, c, l, j, F.lit(1)))))
+    to_rest = F.flatten(F.transform(levels, lambda l: F.transform(numbers("rest", l), lambda j: block(1, l, j, level, c, F.lit(2)))))
+    every = F.when(F.col("in_main"), to_rest).otherwise(F.concat(same, above, below, to_main))
+    blocks = rows.select("pivot", "rep", "n", "component", F.explode(every).alias("b")).select("pivot", "rep", "n", "component", "b.*")
+    full = blocks.join(sets.select(F.col("doc_id").alias("rep"), "n", "shingles"), ["rep", "n"])
+    return full.groupBy("pivot", "kind", "l1", "c1", "l2", "c2").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct()
 
 
 @settled("near-duplicates")
@@ -227,7 +239,8 @@ def near_duplicates(
     live = stored(live.select("key", "rep").distinct().join(stored(weight, "weights"), "rep"), "weighted-rows")
 
     wanted = live.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(slim.join(stored(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(lambda it: tx.lean(_sets(it, shingle)), "doc_id long, shingles array<long>"), "sets")
+    sets = stored(slim.join(stored(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(lambda it: tx.lean(_sets(it, shingle)), "doc_id long, n long, shingles array<long>"), "sets")
+    sizes = stored(classes.select("rep", F.col("n_shingles").alias("n")).distinct(), "sizes")
 
     # rows that share an id make their classes one
     owner = usable.select("doc_id", "d1", "d2", "n_shingles").join(classes.drop("bands"), ["d1", "d2", "n_shingles"])
@@ -235,9 +248,9 @@ def near_duplicates(
     pivot = stored(live.groupBy("key").agg(F.min(F.struct("w", "rep")).alias("p")), "pivots")
     compared = stored(live.join(pivot, "key").select(F.col("p.rep").alias("pivot"), "rep").where("rep <> pivot").distinct(), "compared")
     pairs = compared.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-    links = stored(links.unionByName(_links(pairs, sets, percent)), "links")
+    links = stored(links.unionByName(_links(pairs, sizes, sets, percent)), "links")
     label = smallest_reachable(links)
-    more = stored(_rest(compared, label, sets, percent), "more-links")
+    more = stored(_rest(compared, label, sizes, sets, percent), "more-links")
     if not more.isEmpty():
         label = smallest_reachable(links.unionByName(more))
 
