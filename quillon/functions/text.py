@@ -41,9 +41,26 @@ def media_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.element_at(F.split(content_type, ";"), 1)))
 
 
+#: What a quoted text shows as it is: letters, marks, numbers, punctuation, symbols and the space.
+_PRINTABLE = r"[\p{L}\p{M}\p{N}\p{P}\p{S} ]"
+_SHORT = {7: "a", 8: "b", 12: "f", 10: "n", 13: "r", 9: "t", 11: "v"}
+
+
 def quoted(value: Column) -> Column:
-    """A text in double quotes, with backslashes and quotes escaped."""
-    return F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A text in double quotes; backslashes, quotes and what cannot be printed are escaped."""
+    plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when(c.rlike(rf"\A{_PRINTABLE}\z"), c)
+        for number, letter in _SHORT.items():
+            out = out.when(code == number, "\\" + letter)
+        hex_ = lambda mark, n: F.concat(F.lit("\\" + mark), F.lpad(F.lower(F.hex(code)), n, "0"))
+        return out.when(code < 0x80, hex_("x", 2)).when(code < 0x10000, hex_("u", 4)).otherwise(hex_("U", 8))
+
+    odd = value.rlike(r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]")
+    escaped = F.array_join(F.transform(F.split(plain, ""), shown), "")
+    return F.concat(F.lit('"'), F.when(odd, escaped).otherwise(plain), F.lit('"'))
 
 
 def time_ordered_uuid(at: Column) -> Column:

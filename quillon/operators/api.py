@@ -27,13 +27,13 @@ UNAVAILABLE = "coupons cannot be checked right now, retry later"
 class Limits:
     """Requests per window and client, and the window in microseconds, of the two limited routes."""
 
-    coupon: tuple[int, int] = (30, 60_000_000)
+    coupon: tuple[int, int] = (20, 60_000_000)
     order: tuple[int, int] = (10, 60_000_000)
 
 
 def route(method: Column, path: Column) -> Column:
     """The endpoint, or the status that a path without one is answered with."""
-    known = [("GET", "/api/product", "list"), ("POST", "/api/coupon/validate", "coupon"), ("POST", "/api/order", "order"), ("GET", "/health", "health"), ("GET", "/ready", "ready")]
+    known = [("GET", "/api/product", "list"), ("POST", "/api/coupon/validate", "coupon"), ("POST", "/api/order", "order"), ("GET", "/health", "health"), ("GET", "/ready", "ready"), ("GET", "/api/openapi.yaml", "openapi")]
     one = path.rlike(r"\A/api/product/[^/]+\z")
     out = F.when(one & (method == "GET"), "product")
     for verb, at, name in known:
@@ -67,12 +67,17 @@ def order_json(placed: DataFrame, requests: DataFrame, products: DataFrame) -> D
     return both.select("order_id", body.alias("body"))
 
 
-def respond(requests: DataFrame, products: DataFrame, valid: DataFrame, keys: DataFrame, limits: Limits = Limits(), percent: int = 10, ready: bool = True) -> DataFrame:
-    """``(id, status, body, retry_after)`` for every record; ids are unique."""
+def respond(requests: DataFrame, products: DataFrame, valid: DataFrame, keys: DataFrame, limits: Limits = Limits(), percent: int = 10, ready: bool = True, spec: str = "") -> DataFrame:
+    """``(id, status, body, retry_after, rate_limit, rate_remaining)`` for every record; ids are unique.
+
+    The last three are headers: seconds to wait, of a 429 or 503, and of the limited
+    routes the requests that a client has and those that are left.  ``spec`` is the
+    API description that one route answers with.
+    """
     rows = requests.withColumn("route", route(F.col("method"), F.col("path")))
     keyed = rows.where("route in ('coupon', 'order')").select("id", "ts", "route", client_key(F.col("client")).alias("client"))
-    passed = rate_limit(keyed.where("route = 'coupon'"), *limits.coupon).unionByName(rate_limit(keyed.where("route = 'order'"), *limits.order))
-    passed = passed.select("id", F.col("flag").alias("passed"))
+    budgets = [rate_limit(keyed.where(F.col("route") == name), *budget, headers=True).withColumn("rate_limit", F.lit(budget[0])) for name, budget in (("coupon", limits.coupon), ("order", limits.order))]
+    passed = budgets[0].unionByName(budgets[1]).select("id", F.col("flag").alias("passed"), "left", "wait_us", "rate_limit")
 
     auth = authorise(rows.where("route = 'order'").select("id", "api_key"), keys, "create_order").select("id", F.col("status").alias("auth"), F.col("message").alias("auth_message"))
 
@@ -126,10 +131,13 @@ def respond(requests: DataFrame, products: DataFrame, valid: DataFrame, keys: Da
         .when((r == "product") & (F.col("p_status") == 400), "productId must be an integer")
         .when((r == "product") & (F.col("p_status") == 404), "product not found")
     )
-    fine = F.when(r == "coupon", F.col("c_body")).when(r == "order", F.col("o_body")).when(r == "product", F.col("p_body"))
-    out = joined.select("id", status.alias("status"), message.alias("message"), fine.alias("fine"))
-    body = F.when(F.col("status") == 200, F.col("fine")).otherwise(F.to_json(error_body(F.col("status"), F.col("message"))))
-    return out.select("id", "status", body.alias("body"), F.when(F.col("status") == 503, F.lit(5)).alias("retry_after"))
+    fine = F.when(r == "coupon", F.col("c_body")).when(r == "order", F.col("o_body")).when(r == "product", F.col("p_body")).when(r == "openapi", F.lit(spec))
+    fine = fine.when(r == "health", F.lit('{"status":"ok"}')).when(r == "ready", F.lit('{"status":"ready"}'))
+    out = joined.select("id", status.alias("status"), message.alias("message"), fine.alias("fine"), r.alias("route"), "rate_limit", "left", "wait_us")
+    down = F.when(F.col("route") == "ready", F.lit('{"status":"shutting down"}'))
+    body = F.when(F.col("status") == 200, F.col("fine")).otherwise(F.coalesce(down, F.to_json(error_body(F.col("status"), F.col("message")))))
+    wait = F.when(F.col("status") == 429, F.greatest(F.ceil(F.col("wait_us") / 1_000_000), F.lit(1))).when((F.col("status") == 503) & F.col("rate_limit").isNotNull(), F.lit(5))
+    return out.select("id", "status", body.alias("body"), wait.cast("long").alias("retry_after"), "rate_limit", F.col("left").alias("rate_remaining"))
 
 
 def coupon_service(codes: DataFrame, valid: DataFrame, percent: int = 10, ready: bool = True) -> DataFrame:

@@ -46,19 +46,25 @@ def place_orders(
     """
     base = requests.select("order_id", F.coalesce("couponCode", F.lit("")).alias("code"), "items", shape_problems(F.col("items"), max_items, max_quantity).alias("shape"))
     # only orders of sound shape are looked up, so no order contributes more than max_items rows
-    lines = base.where(F.size("shape") == 0).select("order_id", F.posexplode("items").alias("i", "item"))
-    lines = lines.select("order_id", "i", F.col("item.productId").alias("pid"), F.col("item.quantity").cast("long").alias("quantity"))
+    looked_up = F.when(F.size("shape") == 0, F.col("items"))
+    lines = base.select("order_id", "code", "shape", F.posexplode_outer(looked_up).alias("i", "item"))
+    lines = lines.select("order_id", "code", "shape", "i", F.col("item.productId").alias("pid"), F.col("item.quantity").cast("long").alias("quantity"))
     priced = lines.join(products.select(F.col("id").alias("pid"), F.col("price").cast("long").alias("price")), "pid", "left")
     missing = F.concat(F.lit("items["), F.col("i").cast("string"), F.lit("].productId: product "), quoted(F.col("pid")), F.lit(" not found"))
+    # an order's rows come together again with all that is known of it; its id is unique
     by_order = priced.groupBy("order_id").agg(
+        F.first("code").alias("code"),
+        F.first("shape").alias("shape"),
         F.sum(F.col("price") * F.col("quantity")).alias("subtotal"),
-        F.sort_array(F.collect_list(F.when(F.col("price").isNull(), F.struct("i", missing.alias("text"))))).alias("unknown"),
-        F.sort_array(F.collect_list(F.struct("i", "pid"))).alias("all"),
+        F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "pid", F.when(F.col("price").isNull(), missing).alias("missing"))))).alias("all"),
     )
+    looked = F.size("shape") == 0
     by_order = by_order.select(
-        "order_id", "subtotal", F.transform("unknown", lambda u: u["text"]).alias("unknown"), F.array_distinct(F.transform("all", lambda a: a["pid"])).alias("products")
-    )
-    joined = coupon_outcomes(base.join(by_order, "order_id", "left"), valid, "code", percent, ready)
+        "order_id", "code", "shape", "subtotal",
+        F.when(looked, F.transform(F.filter("all", lambda a: a["missing"].isNotNull()), lambda a: a["missing"])).alias("unknown"),
+        F.when(looked, F.array_distinct(F.transform("all", lambda a: a["pid"]))).alias("products"),
+    )
+    joined = coupon_outcomes(by_order, valid, "code", percent, ready)
     found = (F.col("code") != "") & F.col("unknown").isNotNull()
     stage = (
         F.when(F.size("shape") > 0, F.lit("shape"))

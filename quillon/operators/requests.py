@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -69,80 +70,189 @@ def authorise(requests: DataFrame, keys: DataFrame, scope: str, key: str = "api_
 
 _ORDER_FIELDS = {"couponCode": (str, "string"), "items": (list, "[]order.Item")}
 _ITEM_FIELDS = {"productId": (str, "string"), "quantity": (int, "int")}
+_COUPON_FIELDS = {"couponCode": (str, "string")}
+_BLANK = " \t\r\n"
+#: Deeper nesting is refused as invalid.
+MAX_DEPTH = 10_000
+_JSON_TOKEN = re.compile(r'''[ \t\r\n]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)|(true|false|null))''')
+
+
+class Pairs(list):
+    """The members of a JSON object in order, repeats included."""
+
+
+class Invalid(ValueError):
+    """Text that no more text could make valid JSON."""
+
+
+class Incomplete(ValueError):
+    """Text that ends within a JSON value."""
+
+
+def _refuse(name: str) -> None:
+    raise Invalid(name)
+
+
+def _int(text: str) -> int:
+    return int(text) if len(text) < 25 else 1 << 80  # any number beyond 64 bits
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=Pairs, parse_constant=_refuse, parse_int=_int)
+
+
+def _scan(text: str) -> tuple[object, int]:
+    """The first JSON value of a text and its end, without recursion."""
+    at, stack, root = 0, [], None
+    want = "value"  # or: first (value or end), key, first key, colon, next (comma or end)
+    while True:
+        m = _JSON_TOKEN.match(text, at)
+        if m is None:
+            rest = text[at:].lstrip(_BLANK)
+            literal = any(x.startswith(rest) for x in ("true", "false", "null", "-"))
+            raise (Incomplete if not rest or literal or re.fullmatch(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+(?:\\(?:u[0-9a-fA-F]{0,3})?)?', rest) else Invalid)(text[at : at + 20])
+        at = m.end()
+        mark, string, number, literal = m.groups()
+        if mark in ("]", "}"):
+            if not stack or isinstance(stack[-1][0], Pairs) != (mark == "}") or want not in ("next", "first", "first key"):
+                raise Invalid(mark)
+            value = stack.pop()[0]
+        elif mark == ",":
+            if want != "next":
+                raise Invalid(mark)
+            want = "key" if isinstance(stack[-1][0], Pairs) else "value"
+            continue
+        elif mark == ":":
+            if want != "colon":
+                raise Invalid(mark)
+            want = "value"
+            continue
+        elif want in ("key", "first key"):
+            if string is None:
+                raise Invalid(m[0])
+            stack[-1][1], want = json.loads(string), "colon"
+            continue
+        elif want not in ("value", "first"):
+            raise Invalid(m[0])
+        elif mark:
+            if len(stack) >= MAX_DEPTH:
+                raise Invalid("depth")
+            stack.append([Pairs() if mark == "{" else [], None])
+            want = "first key" if mark == "{" else "first"
+            continue
+        else:
+            value = json.loads(string) if string else {"true": True, "false": False, "null": None}[literal] if literal else _int(number) if re.fullmatch("-?[0-9]+", number) else float(number)
+        if not stack:
+            return value, at
+        holder, key = stack[-1]
+        holder.append((key, value) if isinstance(holder, Pairs) else value)
+        want = "next"
+
+
+def _first_value(text: str) -> tuple[object, int]:
+    try:
+        return _DECODER.raw_decode(text)
+    except (ValueError, RecursionError):
+        return _scan(text)
 
 
-def _body_problem(body: str | None, fields: dict = _ORDER_FIELDS) -> str | None:
-    if body is None or not body.strip():
-        return "body must not be empty"
-    if len(body.encode()) > MAX_BODY:
-        return f"body must not exceed {MAX_BODY} bytes"
-    decoder, text = json.JSONDecoder(), body.lstrip()
-    try:
-        value, end = decoder.raw_decode(text)
-    except ValueError:
-        return "body is not valid JSON"
-    if value is None:
-        value = {}
-    if not isinstance(value, dict):
-        return "body must be a JSON object"
-
-    def wrong(fields: dict, record: dict, prefix: str) -> str | None:
-        named = {k.lower(): k for k in fields}
-        for k, v in record.items():
-            name = named.get(k.lower())
-            if name is None or v is None:
-                continue
-            kind, says = fields[name]
-            if not isinstance(v, kind) or (kind is int and (isinstance(v, bool) or not -(1 << 63) <= v < 1 << 63)):
-                return f"{prefix}{name} must be of type {says}"
+def _clean(text: str) -> str:
+    """A decoded string; halves of surrogate pairs become U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _assign(fields: dict, record: Pairs, prefix: str, out: dict) -> str | None:
+    """Set the fields that a JSON object names, in any case; the first of a wrong type is what is returned."""
+    named = {k.casefold(): k for k in fields}
+    for key, value in record:
+        name = key if key in fields else named.get(key.casefold())
+        if name is None:
+            continue
+        kind, says = fields[name]
+        if value is None:
             if kind is list:
-                for item in v:
-                    if item is not None and not isinstance(item, dict):
-                        return f"{prefix}{name} must be of type order.Item"
-                    found = wrong(_ITEM_FIELDS, item or {}, f"{prefix}{name}.")
-                    if found:
-                        return found
-        return None
-
-    found = wrong(fields, value, "")
-    if found:
-        return found
-    if text[end:].strip():
-        return "body must contain a single JSON object"
+                out[name] = None
+            continue
+        if not isinstance(value, kind) or isinstance(value, Pairs) or (kind is int and (isinstance(value, bool) or not -(1 << 63) <= value < 1 << 63)):
+            return f"{prefix}{name} must be of type {says}"
+        if kind is list:
+            items = []
+            for item in value:
+                if item is not None and not isinstance(item, Pairs):
+                    return f"{prefix}{name} must be of type order.Item"
+                items.append({"productId": "", "quantity": 0})
+                if found := _assign(_ITEM_FIELDS, item or Pairs(), f"{prefix}{name}.", items[-1]):
+                    return found
+            out[name] = items
+        else:
+            out[name] = _clean(value) if kind is str else value
     return None
 
 
-def _order_problems(body: pd.Series) -> pd.Series:
-    return body.map(_body_problem, na_action=None)
+def read_body(body: str | None, fields: dict) -> tuple[str | None, dict]:
+    """Why a body is refused, or None, and the fields it sets: one pass for both.
 
+    The body is one JSON object of at most ``MAX_BODY`` bytes.  A value that is whole
+    within them is judged before what follows it.
+    """
+    out: dict = {}
+    text, long = body or "", False
+    if len(text) > MAX_BODY // 4 and len(raw := text.encode()) > MAX_BODY:
+        text, long = raw[:MAX_BODY].decode(errors="ignore"), True
+    text = text.lstrip(_BLANK)
+    too_long = f"body must not exceed {MAX_BODY} bytes"
+    if not text:
+        return too_long if long else "body must not be empty", out
+    try:
+        value, end = _first_value(text)
+    except Incomplete:
+        return too_long if long else "body is not valid JSON", out
+    except Invalid:
+        return "body is not valid JSON", out
+    if value is not None and not isinstance(value, Pairs):
+        return "body must be a JSON object", out
+    if found := _assign(fields, value or Pairs(), "", out):
+        return found, out
+    if long or text[end:].strip(_BLANK):
+        return "body must contain a single JSON object", out
+    return None, out
 
-def _coupon_problems(body: pd.Series) -> pd.Series:
-    fields = {"couponCode": _ORDER_FIELDS["couponCode"]}
-    return body.map(lambda b: _body_problem(b, fields), na_action=None)
 
+_ITEMS = "array<struct<productId:string,quantity:bigint>>"
 
-def _refused(content_type: Column, body: Column, problems: Callable) -> Column:
-    """Why a body is refused, or null.
 
-    The media type must be JSON and the body one JSON object of the right types.
-    Spark's parser coerces types and ignores what follows a value, so the strict
-    part is a vectorised Python function.
-    """
-    wrong = F.coalesce(media_type(content_type) != "application/json", F.lit(True))
-    return F.when(wrong, F.lit("Content-Type must be application/json")).otherwise(F.pandas_udf(problems, "string")(body))
+def _bodies(fields: dict, schema: str) -> Callable[[Column], Column]:
+    names = list(fields)
+
+    def read(body: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b in body:
+            problem, values = read_body(b, fields)
+            rows.append((problem, *((None,) * len(names) if problem else (values.get(n) for n in names))))
+        return pd.DataFrame(rows, columns=["problem", *names], dtype=object)
+
+    return F.pandas_udf(read, schema)
 
 
-ORDER_SCHEMA = "couponCode string, items array<struct<productId:string,quantity:int>>"
+def _decoded(requests: DataFrame, content_type: str, body: str, fields: dict, schema: str) -> DataFrame:
+    """Bodies by a vectorised Python function: Spark's parser coerces types, keeps case and ignores what follows a value."""
+    wrong = F.coalesce(media_type(F.col(content_type)) != "application/json", F.lit(True))
+    read = requests.withColumn("_body", _bodies(fields, schema)(F.when(~wrong, F.col(body))))
+    problem = F.when(wrong, F.lit("Content-Type must be application/json")).otherwise(F.col("_body.problem"))
+    return read.withColumn("problem", problem).withColumns({name: F.col(f"_body.{name}") for name in fields}).drop("_body")
 
 
 def order_bodies(requests: DataFrame, content_type: str = "content_type", body: str = "body") -> DataFrame:
     """``requests`` with the decoded ``couponCode`` and ``items``, or the ``problem`` that answers 400."""
-    out = requests.withColumn("problem", _refused(F.col(content_type), F.col(body), _order_problems))
-    decoded = F.when(F.col("problem").isNull(), F.from_json(F.col(body), ORDER_SCHEMA))
-    return out.withColumn("_order", decoded).withColumn("couponCode", F.col("_order.couponCode")).withColumn("items", F.col("_order.items")).drop("_order")
+    return _decoded(requests, content_type, body, _ORDER_FIELDS, f"problem string, couponCode string, items {_ITEMS}")
 
 
 def coupon_bodies(requests: DataFrame, content_type: str = "content_type", body: str = "body") -> DataFrame:
     """``requests`` with the decoded ``couponCode``, or the ``problem`` that answers 400."""
-    out = requests.withColumn("problem", _refused(F.col(content_type), F.col(body), _coupon_problems))
-    return out.withColumn("couponCode", F.when(F.col("problem").isNull(), F.from_json(F.col(body), "couponCode string")["couponCode"]))
+    return _decoded(requests, content_type, body, _COUPON_FIELDS, "problem string, couponCode string")
+
+
+def access_log(requests: DataFrame) -> DataFrame:
+    """``(level, line)``: the JSON log line of ``(method, path, status, bytes, duration_ns, ip, user_agent, err, request_id)``."""
+    failed = F.when(F.col("status") >= 500, F.col("err"))
+    line = F.struct(F.upper(log_level(F.col("path"), F.col("status"))).alias("level"), F.lit("request").alias("msg"), "method", "path", "status", "bytes", F.col("duration_ns").alias("duration"), "ip", "user_agent", failed.alias("err"), F.nullif("request_id", F.lit("")).alias("request_id"))
+    return requests.select("*", log_level(F.col("path"), F.col("status")).alias("level"), F.to_json(line).alias("line"))

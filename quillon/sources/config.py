@@ -42,10 +42,20 @@ def parse_key_list(text: str) -> dict[str, list[str]]:
 class Config:
     """Engine settings; durations in seconds."""
 
+    addr: str = ":8080"
+    read_header_timeout: float = 5.0
+    read_timeout: float = 10.0
+    write_timeout: float = 15.0
+    idle_timeout: float = 60.0
+    shutdown_timeout: float = 15.0
+    log_level: str = "info"
+    log_format: str = "json"
+    coupons_url: str = "http://localhost:8081"
+    coupons_timeout: float = 2.0
     coupon_cache_ttl: float = 300.0
     coupon_negative_cache_ttl: float = 60.0
     cache_max_entries: int = 10_000
-    coupon_rate_limit: int = 30
+    coupon_rate_limit: int = 20
     coupon_rate_window: float = 60.0
     order_rate_limit: int = 10
     order_rate_window: float = 60.0
@@ -54,10 +64,11 @@ class Config:
     min_files: int = 2
     api_keys: dict[str, list[str]] = field(default_factory=lambda: {"apitest": ["create_order"]})
     trusted_proxies: list[str] = field(default_factory=list)
+    cors_allowed_origins: list[str] = field(default_factory=lambda: ["*"])
 
     def problems(self) -> list[str]:
         """Everything that is wrong, not only the first."""
-        out = [f"{n.upper()} must be positive" for n in ("coupon_rate_window", "order_rate_window", "poll_interval") if getattr(self, n) <= 0]
+        out = [f"{n.upper()} must be positive" for n in ("read_header_timeout", "read_timeout", "write_timeout", "idle_timeout", "shutdown_timeout", "coupons_timeout", "coupon_rate_window", "order_rate_window", "poll_interval") if getattr(self, n) <= 0]
         if self.coupon_cache_ttl < 0 or self.coupon_negative_cache_ttl < 0:
             out.append("coupon cache TTLs must not be negative")
         if self.cache_max_entries < 1:
@@ -68,19 +79,58 @@ class Config:
             out.append("DISCOUNT_PERCENT must be between 0 and 100")
         if not self.api_keys:
             out.append("API_KEYS must contain at least one key")
-        return out
+        return out + _log_problems(self)
 
 
-def load(env: Mapping[str, str] | None = None, path: str | None = None) -> Config:
-    """Defaults, a JSON or TOML file over them, the environment over both. ValueError lists all problems."""
-    given: dict = {}
-    if path:
-        with open(path, "rb") as f:
-            given = {k.lower(): v for k, v in (tomllib.load(f) if path.endswith(".toml") else json.load(f)).items()}
+@dataclass
+class ServiceConfig:
+    """Settings of the code service."""
+
+    coupons_addr: str = "127.0.0.1:8081"
+    coupons_dir: str = "data/coupons"
+    coupons_poll_interval: float = 2.0
+    coupons_discount_percent: int = 10
+    shutdown_timeout: float = 10.0
+    log_level: str = "info"
+    log_format: str = "json"
+
+    def problems(self) -> list[str]:
+        out = [] if os.path.isdir(self.coupons_dir) else [f'COUPONS_DIR "{self.coupons_dir}" is not a readable directory']
+        if not 0 <= self.coupons_discount_percent <= 100:
+            out.append("COUPONS_DISCOUNT_PERCENT must be between 0 and 100")
+        if self.coupons_poll_interval <= 0 or self.shutdown_timeout <= 0:
+            out.append("COUPONS_POLL_INTERVAL and SHUTDOWN_TIMEOUT must be positive")
+        return out + _log_problems(self)
+
+
+def _log_problems(config: Config | ServiceConfig) -> list[str]:
+    out = [] if config.log_format in ("json", "text") else [f'unknown LOG_FORMAT "{config.log_format}", want json or text']
+    if not re.fullmatch(r"(?i)(debug|info|warn|error)([+-][0-9]+)?", config.log_level):
+        out.append(f'unknown LOG_LEVEL "{config.log_level}"')
+    return out
+
+
+def _read(path: str) -> dict:
+    """The settings of a TOML, YAML or JSON file."""
+    with open(path, "rb") as f:
+        if path.endswith(".toml"):
+            return tomllib.load(f)
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError(f"{path}: no YAML reader is installed") from e
+            return yaml.safe_load(f) or {}
+        return json.load(f)
+
+
+def load(env: Mapping[str, str] | None = None, path: str | None = None, kind: type = Config) -> Config | ServiceConfig:
+    """Defaults, a JSON, TOML or YAML file over them, the environment over both. ValueError lists all problems."""
+    given = {k.lower(): v for k, v in _read(path).items()} if path else {}
     env = os.environ if env is None else env
-    given |= {f.name: env[f.name.upper()] for f in fields(Config) if f.name.upper() in env}
-    config = Config()
-    for f in fields(Config):
+    given |= {f.name: env[f.name.upper()] for f in fields(kind) if f.name.upper() in env}
+    config = kind()
+    for f in fields(kind):
         if f.name not in given:
             continue
         value, default = given[f.name], getattr(config, f.name)
@@ -88,6 +138,8 @@ def load(env: Mapping[str, str] | None = None, path: str | None = None) -> Confi
             value = parse_key_list(value) if isinstance(value, str) else dict(value)
         elif isinstance(default, list):
             value = [x.strip() for x in value.split(",") if x.strip()] if isinstance(value, str) else list(value)
+        elif isinstance(default, str):
+            value = str(value)
         elif isinstance(default, float):
             value = seconds(value)
         else:

@@ -2,8 +2,9 @@
 
 Intermediate results that several jobs read are written as Parquet below
 ``spark.checkpoint.dir``.  A lost executor then costs the running job only, and
-lineage ends at the files.  Only where that setting is absent (tests, a laptop)
-is a folder of this machine taken instead.
+lineage ends at the files.  Only where that setting is absent and Spark runs on this
+machine alone (tests, a laptop) is a folder of this machine taken instead; on a cluster
+its absence is an error.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import re
 import tempfile
 import threading
 import uuid
@@ -29,6 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[(\*|[0-9]+)(, *[0-9]+)?\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return _own["dir"]
@@ -93,14 +98,21 @@ def settled(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Dat
     return wrap
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    _written.pop(path, None)
+    with contextlib.suppress(Exception):
+        delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path through Spark's own file system layer."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read from there.
+def write(df: DataFrame, name: str, codec: str = "zstd") -> str:
+    """Write ``df`` to the shared folder; where it is.
 
     The shuffle files of the writing job are dropped with it: whatever reads the
     result needs the table alone.
@@ -109,7 +121,12 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = new_path(spark, name)
     with setting(spark, _CLEANUP, "true"):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read from there."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name, codec))
 
 
 def _clean() -> None:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.state import INVALID, VALID, cache_step, lookup_kind
+
 _OUT = "id long, k string, flag boolean"
 
 
@@ -48,13 +50,13 @@ def stream_rate_limit(requests: DataFrame, limit: int, window_us: int, client: s
     return _stream_fold(_rows(requests, client, at, ident, F.lit(0)), "tokens long, t long", lambda t: (full, t), step)
 
 
-def stream_cached_answers(requests: DataFrame, ttl_us: int, negative_ttl_us: int, key: str = "code", at: str = "ts", ident: str = "id", valid: str = "valid") -> DataFrame:
+def stream_cached_answers(requests: DataFrame, ttl_us: int, negative_ttl_us: int, key: str = "code", at: str = "ts", ident: str = "id", valid: str = "valid", check_codes: bool = True) -> DataFrame:
     """The streaming form of ``operators.state.cached_answers``."""
+    ttls = {VALID: ttl_us, INVALID: negative_ttl_us}
 
     def step(state: tuple, t: int, kind: int) -> tuple[bool, tuple]:
-        if t < state[0]:
-            return True, state
-        ttl = ttl_us if kind else negative_ttl_us
-        return False, (t + ttl if ttl > 0 else -(1 << 62),)
+        hit, expires = cache_step(state[0], t, kind, ttls)
+        return hit, (expires,)
 
-    return _stream_fold(_rows(requests, key, at, ident, F.col(valid).cast("int")), "expires long", lambda t: (-(1 << 62),), step)
+    kind = lookup_kind(F.col(valid), F.col(key).cast("string") if check_codes else None)
+    return _stream_fold(_rows(requests, key, at, ident, kind), "expires long", lambda t: (None,), step)

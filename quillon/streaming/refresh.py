@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.threshold import valid_codes
 from ..sources.lines import list_files, read_sources
 from ..sources.saved import read_saved, write_saved
-from ..storage import stored
+from ..storage import release, write
 
+#: Codes that are saved beside the files for a restart; the file and a restore go through the driver.
+MAX_SAVED = 5_000_000
 Snapshot = dict[str, tuple[int, int]]
 
 
@@ -53,6 +55,7 @@ class CouponRefresh:
         self._before: Snapshot | None = None
         self._loaded: Snapshot | None = None
         self._valid: DataFrame | None = None
+        self._paths: list[str | None] = []
         self.ready = False
 
     def valid(self) -> DataFrame:
@@ -62,10 +65,16 @@ class CouponRefresh:
     def is_valid(self, code: str) -> bool:
         return not self.valid().where(self.valid()["code"] == code).limit(1).isEmpty()
 
-    def _swap(self, valid: DataFrame) -> None:
+    def _swap(self, valid: DataFrame, path: str | None = None) -> None:
+        """Move the view; the table before the last one goes, as a reader may still be at the last."""
         self._valid = valid
         valid.createOrReplaceTempView(self.view)
         self.ready = True
+        self._paths.append(path)
+        for old in self._paths[:-2]:
+            if old:
+                release(self.spark, old)
+        del self._paths[:-2]
 
     def restore(self) -> bool:
         """Use the saved result if it was built from the files of now."""
@@ -106,15 +115,19 @@ class CouponRefresh:
     def _build(self, now: Snapshot) -> None:
         start, files = time.monotonic(), sorted(now)
         try:
-            valid = stored(valid_codes(read_sources(self.spark, files), self.min_files, len(files)), "valid-codes").orderBy("code")
+            path = write(valid_codes(read_sources(self.spark, files), self.min_files, len(files)), "valid-codes")
+            valid = self.spark.read.schema("code string").parquet(path).orderBy("code")
             count = valid.count()
         except Exception as e:  # any failure of the job keeps the old set
             self.logger.error("load %s: %s", files, e)
             self._report(Load(files, 0, time.monotonic() - start, error=e))
             return
-        self._swap(valid)
-        try:  # the saved result is one small row by design
-            write_saved(self.folder, now, [r["code"] for r in valid.collect()], self.min_files)
+        self._swap(valid, path)
+        try:
+            if count <= MAX_SAVED:
+                write_saved(self.folder, now, [r["code"] for r in valid.collect()], self.min_files)
+            else:
+                self.logger.warning("%d codes are too many for the saved file, which is left out", count)
         except OSError as e:
             self.logger.warning("save codes: %s", e)
         self._report(Load(files, count, time.monotonic() - start))
