@@ -199,7 +199,12 @@ def product_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("asked", "id", requests.product_id_status(F.col("asked"), F.col("_id").isNotNull())["status"].alias("status"))
 
 
-@query("".join(f"""{'UNION ALL ' if i else ''}SELECT '{r[0]}' AS id, '{r[1]}' AS name, '{r[2]}' AS category, CAST({r[3]} AS BIGINT) AS price, '{product_source.IMAGES}image-{r[4]}-thumbnail.jpg' AS thumbnail """ for i, r in enumerate(product_source.DEMO)))
+# the catalogue as it must be, written out apart from the code's own table
+@query("""SELECT CAST(i AS VARCHAR) AS id, name, coalesce(category, split_part(name, ' ', -1)) AS category, CAST(cents AS BIGINT) AS price,
+  'https://orderfoodonline.deno.dev/public/images/image-' || coalesce(image, lower(split_part(name, ' ', -1))) || '-thumbnail.jpg' AS thumbnail
+  FROM (VALUES (9, 'Vanilla Panna Cotta', 'Panna Cotta', 650, 'panna-cotta'), (8, 'Salted Caramel Brownie', NULL, 550, NULL), (7, 'Red Velvet Cake', NULL, 450, NULL), (6, 'Lemon Meringue Pie', NULL, 500, 'meringue'),
+    (5, 'Pistachio Baklava', NULL, 400, NULL), (4, 'Classic Tiramisu', NULL, 550, NULL), (3, 'Macaron Mix of Five', 'Macaron', 800, 'macaron'), (2, 'Vanilla Bean Crème Brûlée', 'Crème Brûlée', 700, 'creme-brulee'),
+    (1, 'Waffle with Berries', 'Waffle', 650, 'waffle')) AS t(i, name, category, cents, image)""")
 def demo_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The demo catalogue."""
     return product_source.demo_products(spark).select("id", "name", "category", "price", F.col("image.thumbnail").alias("thumbnail"))
@@ -226,12 +231,13 @@ def auth_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STATUS = "[0, 200, 400, 401, 403, 404, 405, 418, 422, 429, 500, 502, 503]"
-_TYPES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in requests.ERROR_TYPES.items())
-_TEXTS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in requests.STATUS_TEXTS.items())
 
 
 @query(f"""WITH s AS (SELECT event_id, {_STATUS}[1 + event_id % 13] AS status FROM events), c AS (SELECT event_id, CASE WHEN status IN (0, 500) THEN 500 ELSE status END AS code FROM s)
-  SELECT event_id, code, coalesce(CASE code {_TYPES} END, 'error') AS type, coalesce(CASE code {_TEXTS} END, '') AS message FROM c""")
+  SELECT event_id, code, CASE WHEN code = 400 THEN 'bad_request' WHEN code = 401 THEN 'unauthorized' WHEN code = 403 THEN 'forbidden' WHEN code = 404 THEN 'not_found' WHEN code = 405 THEN 'method_not_allowed'
+    WHEN code = 422 THEN 'validation_error' WHEN code = 429 THEN 'rate_limited' WHEN code = 500 THEN 'internal_error' WHEN code = 503 THEN 'unavailable' ELSE 'error' END AS type,
+  CASE WHEN code = 200 THEN 'ok' WHEN code = 400 THEN 'bad request' WHEN code = 401 THEN 'unauthorized' WHEN code = 403 THEN 'forbidden' WHEN code = 404 THEN 'not found' WHEN code = 405 THEN 'method not allowed'
+    WHEN code = 422 THEN 'unprocessable entity' WHEN code = 429 THEN 'too many requests' WHEN code = 500 THEN 'internal server error' WHEN code = 502 THEN 'bad gateway' WHEN code = 503 THEN 'service unavailable' ELSE '' END AS message FROM c""")
 def error_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses as error bodies."""
     statuses = F.array(*[F.lit(int(x)) for x in _STATUS.strip("[]").split(", ")])
@@ -257,31 +263,37 @@ def request_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("page_id", (F.col("i") + 1).cast("long").alias("i"), requests.request_id(F.col("part")).alias("request_id"))
 
 
-@query("""SELECT * FROM (VALUES ('apitest', 'create_order'), ('readonly', ''), ('both', 'create_order|read')) AS t(key, scopes)""")
+@query("""SELECT c_custkey, 'k' || c_custkey || i AS key, CASE i WHEN 0 THEN 'create_order' WHEN 1 THEN '' ELSE 'read|s' || c_custkey % 5 END AS scopes FROM customer, unnest(range(0, 1 + c_custkey % 3)) AS t(i)""")
 def key_config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A configured key list as rows."""
-    given = spark.createDataFrame([(" apitest:create_order, readonly: ,,both: create_order | read |",)], "t string")
-    return given.select(F.explode(text.parse_keys(F.col("t"))).alias("e")).select("e.key", F.array_join("e.scopes", "|").alias("scopes"))
-
-
-_BODIES = (
-    ("application/json", '{"items":[{"productId":"1","quantity":2}]}', None),
-    ("application/json; charset=utf-8", '{"items":[],"note":1}', None),
-    ("text/plain", "{}", "Content-Type must be application/json"),
-    ("application/json", "", "body must not be empty"),
-    ("application/json", '{"items":[', "body is not valid JSON"),
-    ("application/json", "[1,2]", "body must be a JSON object"),
-    ("application/json", '{"items":[{"productId":1,"quantity":2}]}', "items.productId must be of type string"),
-    ("application/json", '{"items":[{"productId":"1","quantity":1.5}]}', "items.quantity must be of type int"),
-    ("application/json", "{} {}", "body must contain a single JSON object"),
-)
-
-
-@query("".join(f"""{'UNION ALL ' if i else ''}SELECT {i} AS n, {"'" + p + "'" if p else 'NULL'} AS problem """ for i, (_, _, p) in enumerate(_BODIES)))
+    """Configured key lists, with blanks around and between, as rows."""
+    k = F.col("c_custkey").cast("string")
+    parts = [F.concat(F.lit(" k"), k, F.lit("0:create_order")), F.concat(F.lit(" ,, k"), k, F.lit("1: ")), F.concat(F.lit(",k"), k, F.lit("2: read ||s"), (F.col("c_custkey") % 5).cast("string"), F.lit("| "))]
+    given = F.concat_ws(",", F.slice(F.array(*parts), F.lit(1), (F.col("c_custkey") % 3 + 1).cast("int")))
+    rows = fx.table(spark, sf_dir, "customer").select("c_custkey", F.explode(text.parse_keys(given)).alias("e"))
+    return rows.select("c_custkey", "e.key", F.array_join("e.scopes", "|").alias("scopes"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_quantity ORDER BY l_linenumber, l_suppkey) AS n, l_partkey AS p, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+  k AS (SELECT *, (l_orderkey + p + q) % 12 AS kind FROM b)
+  SELECT l_orderkey, p, q, CASE kind WHEN 1 THEN 'items.productId must be of type string' WHEN 2 THEN 'items.quantity must be of type int' WHEN 3 THEN 'items.quantity must be of type int'
+    WHEN 4 THEN 'body must contain a single JSON object' WHEN 5 THEN 'body is not valid JSON' WHEN 6 THEN 'body must be a JSON object' WHEN 7 THEN 'body is not valid JSON' WHEN 8 THEN 'Content-Type must be application/json'
+    WHEN 9 THEN 'body must not be empty' END AS problem, CASE WHEN kind IN (0, 10, 11) THEN 'C' || p END AS coupon, CASE WHEN kind IN (0, 10, 11) THEN CAST(p AS VARCHAR) END AS product_id, CASE WHEN kind IN (0, 10, 11) THEN CAST(q AS BIGINT) END AS quantity FROM k""")
 def order_body_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order bodies: why each is refused."""
-    rows = spark.createDataFrame([(i, t, b) for i, (t, b, _) in enumerate(_BODIES)], "n int, content_type string, body string")
-    return requests.order_bodies(rows).select("n", "problem")
+    """Order bodies of twelve kinds: why each is refused, and what the others hold, names in any case."""
+    line = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"))
+    p, q, kind = F.col("p").cast("string"), F.col("q").cast("string"), (F.col("l_orderkey") + F.col("p") + F.col("q")) % 12
+    body = lambda item, more="", names=("couponCode", "items"): F.concat(F.lit(f'{{"{names[0]}":"C'), p, F.lit(f'","{names[1]}":[{{'), *item, F.lit(f"}}]{more}}}"))
+    plain = [F.lit('"productId":"'), p, F.lit('","quantity":'), q]
+    bodies = [
+        body(plain), body([F.lit('"productId":'), p]), body([F.lit('"quantity":"'), q, F.lit('"')]), body([F.lit('"quantity":'), q, F.lit(".5")]), F.concat(body(plain), F.lit(" {}")), body(plain, ',"x":NaN'),
+        F.concat(F.lit("["), body(plain), F.lit("]")), F.concat(F.lit('{"x":'), F.repeat(F.lit("["), 11_000), F.lit("1"), F.repeat(F.lit("]"), 11_000), F.lit("}")), body(plain), F.lit(" \n\t"),
+        F.concat(F.lit(" "), body([F.lit('"PRODUCTID":"'), p, F.lit('","Quantity":'), q], ',"note":[[[{"a":null}]]]', ("couponcode", "ITEMS")), F.lit("\r\n")), F.concat(F.lit('{"items":[{}],'), F.substring(body(plain), 2, 1_000)),
+    ]
+    chosen, media = F.lit(None).cast("string"), F.when(kind == 8, "text/plain").otherwise("application/json; charset=utf-8")
+    for i, b in enumerate(bodies):
+        chosen = F.when(kind == i, b).otherwise(chosen)
+    read = requests.order_bodies(line.select("l_orderkey", "p", "q", media.alias("content_type"), chosen.alias("body")))
+    return read.select("l_orderkey", "p", "q", "problem", F.col("couponCode").alias("coupon"), F.col("items")[0]["productId"].alias("product_id"), F.col("items")[0]["quantity"].alias("quantity"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '10.0.' || u % 256 || '.7' WHEN 1 THEN '10.1.' || u % 256 || '.7' WHEN 2 THEN '2001:db8:' || printf('%x', u % 16) || ':1::/64' ELSE 'client-' || u END AS client
@@ -336,3 +348,6 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = fx.table(spark, sf_dir, "events").withColumn("valid", F.col("user_id") % 3 != 0)
     out = state.cached_answers(asked, 5 * DAY_US, DAY_US, "user_id", "ts", "event_id", check_codes=False)
     return out.select(F.col("id").alias("event_id"), F.col("k").alias("code"), F.col("flag").alias("hit"))
+
+
+from . import service  # noqa: E402, F401  registers its queries

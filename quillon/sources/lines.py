@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 MAX_LINE = 1 << 20
 
 
-def list_files(folder: str) -> dict[str, tuple[int, int]]:
-    """Regular files of a folder, without hidden ones: path to (size, modification time in ns)."""
+def list_files(folder: str, spark: SparkSession | None = None) -> dict[str, tuple[int, int]]:
+    """Regular files of a folder, without hidden ones: path to (size, modification time in ns).
+
+    A folder named by a URL is listed through Spark's own file system layer, whose times
+    are in milliseconds.
+    """
     found = {}
+    if spark is not None and "://" in folder:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        for info in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target):
+            if info.isFile() and not info.getPath().getName().startswith("."):
+                found[f"{folder.rstrip('/')}/{info.getPath().getName()}"] = (info.getLen(), info.getModificationTime() * 1_000_000)
+        return found
     with os.scandir(folder) as entries:
         for e in entries:
             if e.name.startswith(".") or not e.is_file(follow_symlinks=False):
@@ -37,6 +47,12 @@ def _codes(lines: DataFrame, *more: str) -> DataFrame:
     return kept.select(F.regexp_replace("value", r"\r\z", "").alias("code"), *more)
 
 
+def write_lines(codes: DataFrame, path: str, gzip: bool = False, line_end: str = "\n") -> None:
+    """The column ``code`` as lines of text files below ``path``."""
+    writer = codes.select(F.col("code").alias("value")).write.option("lineSep", line_end)
+    (writer.option("compression", "gzip") if gzip else writer).text(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``code``: the lines of a text or gzip file.
 

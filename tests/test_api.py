@@ -82,3 +82,16 @@ def test_coupon_service(spark):
     got = {r["id"]: (r["status"], json.loads(r["body"])) for r in coupon_service(codes, valid).collect()}
     assert got == {1: (200, {"code": "HAPPYHRS", "discountPercent": 10}), 2: (404, {"error": "coupon not found"})}
     assert {r["status"] for r in coupon_service(codes, valid, ready=False).collect()} == {503}
+
+
+def test_headers_and_description(spark):
+    path = "/api/coupon/validate"
+    rows = [post(path, '{"couponCode":"HAPPYHRS"}')] * 4 + [get("/api/openapi.yaml"), get("/ready"), ("POST", "/api/openapi.yaml", "c", None, None, None)]
+    frame = spark.createDataFrame([(i, i, *r) for i, r in enumerate(rows)], SCHEMA).withColumn("ts", F.timestamp_seconds("ts"))
+    valid = spark.createDataFrame([("HAPPYHRS",)], "code string")
+    keys = spark.createDataFrame([], "key_sha256 string, scopes array<string>")
+    out = {r["id"]: r for r in respond(frame, demo_products(spark), valid, keys, Limits(coupon=(3, 60_000_000)), spec="openapi: 3.1.0\n").collect()}
+    assert [(out[i]["status"], out[i]["rate_limit"], out[i]["rate_remaining"]) for i in range(4)] == [(200, 3, 2), (200, 3, 1), (200, 3, 0), (429, 3, 0)]
+    assert [out[i]["retry_after"] for i in range(4)] == [None, None, None, 17]
+    assert (out[4]["status"], out[4]["body"], out[4]["rate_limit"]) == (200, "openapi: 3.1.0\n", None) and out[6]["status"] == 405
+    assert json.loads(out[5]["body"]) == {"status": "ready"}

@@ -168,3 +168,98 @@ def test_config(tmp_path):
     with pytest.raises(ValueError) as e:
         config.load({"API_KEYS": "secret:x,secret:y"})
     assert "secret" not in str(e.value)
+
+
+BODY_CASES = [
+    ('{"couponcode":"HAPPYHRS","ITEMS":[{"productid":"1","QUANTITY":2}]}', None),
+    ('{"couponCode":"a","COUPONCODE":"HAPPYHRS","items":null,"items":[{"productId":"1","quantity":2}]}', None),
+    ('{"couponCode":"HAPPYHRS","x":' + "[" * 9000 + "]" * 9000 + ',"items":[{"productId":"1","quantity":2}]}', None),
+    ("[" * 30000 + "]" * 30000, "body is not valid JSON"),
+    ("[" * 20000, "body is not valid JSON"),
+    ('{"x":NaN}', "body is not valid JSON"),
+    ('{"x":-Infinity}', "body is not valid JSON"),
+    ('{"items":[{"quantity":1' + "0" * 5000 + "}]}", "items.quantity must be of type int"),
+    ('{"items":[{"quantity":true}]}', "items.quantity must be of type int"),
+    ('{"items":[7]}', "items must be of type order.Item"),
+    ('{"items":{}}', "items must be of type []order.Item"),
+    (" {}", "body is not valid JSON"),
+    ("{}" + " " * 70000, "body must contain a single JSON object"),
+    ('{"items":[' + '{"productId":"1","quantity":1},' * 3000 + "]}", "body must not exceed 65536 bytes"),
+    (" \t\r\n", "body must not be empty"),
+    (None, "body must not be empty"),
+    ('"x"', "body must be a JSON object"),
+]
+
+
+def test_bodies_are_read_in_one_pass(spark):
+    rows = spark.createDataFrame([(i, "application/json", b) for i, (b, _) in enumerate(BODY_CASES)], "n int, content_type string, body string")
+    out = {r["n"]: r for r in requests.order_bodies(rows).collect()}
+    assert [out[i]["problem"] for i in range(len(BODY_CASES))] == [p for _, p in BODY_CASES]
+    for i in range(3):
+        assert out[i]["couponCode"] == "HAPPYHRS" and [tuple(x) for x in out[i]["items"]] == [("1", 2)]
+
+
+def test_scanner_agrees_with_the_library():
+    import random
+
+    rng = random.Random(1)
+    decoder = json.JSONDecoder(object_pairs_hook=requests.Pairs)
+    for _ in range(5000):
+        text = "".join(rng.choices(["{", "}", "[", "]", ",", ":", '"a"', "1", "-2.5e3", "null", "true", " ", '"\\u00e9"'], k=rng.randint(1, 9))).lstrip(" ")
+        try:
+            want = decoder.raw_decode(text)[0]
+        except ValueError:
+            want = ValueError
+        try:
+            got = requests._scan(text)[0]
+        except ValueError:
+            got = ValueError
+        assert got == want, text
+
+
+def test_bounded_cache(spark):
+    import random
+    from collections import OrderedDict
+
+    rng = random.Random(3)
+    rows = [(i, f"CODE{rng.randrange(9):05d}" if rng.random() > 0.1 else "bad", rng.randrange(400), rng.choice((True, False, None))) for i in range(600)]
+    cache, want = OrderedDict(), {}
+    for i, k, t, valid in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = False
+        if k == "bad":
+            continue
+        if k in cache:
+            cache.move_to_end(k)
+            if t < cache[k]:
+                want[i] = True
+                continue
+            del cache[k]
+        if valid is not None:
+            cache[k] = t + (20 if valid else 5)
+            while len(cache) > 4:
+                cache.popitem(last=False)
+    frame = spark.createDataFrame(rows, "id long, code string, s long, valid boolean").withColumn("ts", F.timestamp_seconds("s"))
+    got = state.cached_answers(frame, 20_000_000, 5_000_000, max_entries=4).collect()
+    assert {r["id"]: r["flag"] for r in got} == want and sum(want.values()) > 20
+
+
+def test_answers_and_base_urls(spark):
+    assert lookup.base_url("http://a:1/") == "http://a:1"
+    for bad in ("a:8081", "ftp://a", "/x", "http://", ""):
+        with pytest.raises(ValueError):
+            lookup.base_url(bad)
+    rows = [("HAPPYHRS", 200, '{"code":"HAPPYHRS","discountPercent":7}'), ("HAPPYHRS", 200, '{"code":"' + "x" * 5000), ("HAPPYHRS", 200, None), ("HAPPYHRS", None, None), ("HAPPYHRS", 502, "x"), ("HAPPYHRS", 404, "x"), ("x", 200, "{}")]
+    out = lookup.recorded_outcomes(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, code string, http_status int, body string")).orderBy("n").collect()
+    assert [(r["status"], r["discount_percent"]) for r in out] == [("valid", 7), *[("unavailable", None)] * 4, ("invalid", None), ("invalid", None)]
+
+
+def test_settings_of_both_servers(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("coupon_rate_limit: 7\napi_keys:\n  k: [create_order]\nread_timeout: 3s\n")
+    pytest.importorskip("yaml")
+    got = config.load({"ADDR": ":9"}, str(path))
+    assert (got.coupon_rate_limit, got.api_keys, got.read_timeout, got.addr, got.order_rate_limit) == (7, {"k": ["create_order"]}, 3.0, ":9", 10)
+    service = config.load({"COUPONS_DIR": str(tmp_path), "COUPONS_POLL_INTERVAL": "5s"}, kind=config.ServiceConfig)
+    assert service.coupons_poll_interval == 5 and service.coupons_addr == "127.0.0.1:8081"
+    with pytest.raises(ValueError, match="COUPONS_DIR.*PERCENT.*LOG_FORMAT"):
+        config.load({"COUPONS_DIR": str(path), "COUPONS_DISCOUNT_PERCENT": "101", "LOG_FORMAT": "xml"}, kind=config.ServiceConfig)

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
+from quillon import storage
 from quillon.storage import scratch, settled, shared_dir, stored
 
 
@@ -39,3 +42,18 @@ def test_setting_of_the_session_wins():
                 return {"spark.checkpoint.dir": "hdfs://shared/x/"}.get(key, default)
 
     assert shared_dir(Session) == "hdfs://shared/x"
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session())
