@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import drop_suffix
+
 #: Longer lines are skipped whole.
 MAX_LINE = 1 << 20
 
@@ -44,7 +46,7 @@ def _checked(paths: list[str]) -> None:
 
 def _codes(lines: DataFrame, *more: str) -> DataFrame:
     kept = lines.where(F.octet_length("value") < MAX_LINE)
-    return kept.select(F.regexp_replace("value", r"\r\z", "").alias("code"), *more)
+    return kept.select(drop_suffix(F.col("value"), "\r").alias("code"), *more)
 
 
 def write_lines(codes: DataFrame, path: str, gzip: bool = False, line_end: str = "\n") -> None:
