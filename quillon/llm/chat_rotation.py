@@ -8,15 +8,19 @@ and end mark of the assistant's turns.  The segments of a perspective, in order
 ``position``, are the dialogue.
 
 A conversation can be of any length, so none is gathered into one row or task.
-Turns are dealt into blocks of ``BLOCK`` turn numbers; positions and offsets are the
-sums over earlier blocks, one row each, plus those within the block.
+Turns are sorted by ranges of (conversation, number, speaker, text); a range's part of
+a conversation is a block, and however many turns share a number or have none, they
+fall into several.  Positions and offsets are the sums over earlier blocks, one row
+each, plus those within the block.
 
 Defined cases.  A null text is empty.  A null or blank role is the speaker
-"unknown".  A null turn comes after all others.  Turns with equal numbers are
+"unknown".  A null turn comes after all others.  Turns with equal numbers (ties) are
 ordered by role and text; equal rows are separate turns.  Rows with a null
-conversation id are one conversation.  A conversation of system turns alone has no
-perspective.  ``<|`` in a text or role is written ``< |``, so that only real marks
-look like marks.
+conversation id are one conversation, apart from that of the empty id.  A conversation
+of system turns alone has no perspective.  ``<|`` in a text or role is written ``< |``,
+so that only real marks look like marks.  An empty table gives an empty one.  Texts of
+any length are rendered whole.  Only the four columns named are read, so others may
+have any name.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers of a block.
-BLOCK = 64
+from ..storage import stored
+
 END = "<|end|>\n"
 
 
@@ -36,15 +40,17 @@ def rotate(
     clean = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     speaker = F.when(F.trim(F.coalesce(F.col(role_col), F.lit(""))) == "", F.lit("unknown")).otherwise(F.col(role_col))
     base = turns.select(
-        F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("k"),
+        F.coalesce(F.concat(F.lit("id "), F.col(conv_col).cast("string")), F.lit("null")).alias("k"),
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         clean(speaker).alias("speaker"),
         clean(F.coalesce(F.col(text_col), F.lit(""))).alias("content"),
     )
     base = base.withColumn("length", F.char_length("content").cast("long"))
-    # turns without a number are the last block
-    base = base.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit((1 << 63) - 1)))
+    # the number of a row's range: ranges are in order, and a stored one doesn't change
+    order = [F.asc_nulls_last("turn"), F.col("speaker"), F.col("content")]
+    numbered = base.withColumn("n", F.monotonically_increasing_id())  # parts equal rows
+    base = stored(numbered.repartitionByRange("k", *order, "n").withColumn("block", F.spark_partition_id()).drop("n"), "turns")
     role = F.when(F.col("speaker") == system, F.lit(system)).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when(F.col("role") == "user", F.col("speaker"))
     head = F.concat(F.lit("<|"), F.col("role"), F.coalesce(F.concat(F.lit(" "), F.col("name")), F.lit("")), F.lit("|>\n"))
@@ -58,7 +64,7 @@ def rotate(
     blocks = sums.groupBy(*keys).agg(F.sum("turns").alias("n"), chars.alias("chars"))
     blocks = blocks.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("c0"))
     rows = headed(base).withColumn("size", F.char_length("head") + F.col("length") + len(END))
-    inside = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("turn"), "speaker", "content")
+    inside = Window.partitionBy(*keys).orderBy(*order)
     rows = rows.withColumn("i", F.row_number().over(inside)).withColumn("c", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(blocks, keys).withColumn("segment", F.concat("head", "content", F.lit(END)))
     start = F.col("c0") + F.col("c") - F.col("size")

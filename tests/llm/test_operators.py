@@ -121,6 +121,18 @@ def test_rotation_of_a_long_conversation(spark):
     assert all(a["end"] == b["start"] for a, b in zip(out, out[1:], strict=False))
 
 
+def test_rotation_without_numbers_and_ids(spark):
+    rows = [(None, None, f"p{i % 2}", f"t{i % 50:02d}") for i in range(400)] + [("", None, "p0", "one"), ("", 1, "p1", "two"), ("a", 1, "p0", "x" * (1 << 20))]
+    frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("segment", F.lit(0)).withColumn("k", F.lit("k")).withColumn("block", F.lit(9))
+    out = chat_rotation.rotate(frame).collect()
+    assert Counter((r["conv_id"], r["perspective"]) for r in out) == {(None, "p0"): 400, (None, "p1"): 400, ("", "p0"): 2, ("", "p1"): 2, ("a", "p0"): 1}
+    for who in ("p0", "p1"):
+        mine = sorted((r for r in out if r["conv_id"] is None and r["perspective"] == who), key=lambda r: r["position"])
+        assert [r["position"] for r in mine] == list(range(400)) and all(a["end"] == b["start"] for a, b in zip(mine, mine[1:], strict=False))
+        want = sorted((r, t) for _, _, r, t in rows[:400])
+        assert [("p0" if (r["role"] == "assistant") == (who == "p0") else "p1", r["segment"].split("\n")[1][:3]) for r in mine] == [(a, t) for a, t in want]
+
+
 # 2
 
 
