@@ -96,3 +96,61 @@ def test_stages(spark):
         assert r["round_trip"] and r["ids"] == library.encode(clean[d]["text"]) and r["n_tokens"] == len(r["ids"])
 
     assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, DATA).collect()} == {d: r["ids"] for d, r in tokens.items()}
+
+
+ROWS = [
+    (1, "The harbour was rebuilt in three stages. The oldest quay still carries the marks of the first cranes, and few visitors ever notice them."),
+    (2, "The harbour was rebuilt in three stages. The oldest quay still carries the marks of the first cranes, and few visitors ever notice them."),
+    (2, "The harbour was rebuilt in three stages. The oldest quay still carries the marks of the first cranes, and few visitors ever notice them."),
+    (3, None),
+    (4, ""),
+    (4, ""),
+    (None, "A survey of the warehouses found that most roofs date from the years after the great fire."),
+    (5, "One more text that says: a b c d e f g h i j k l m and then something else."),
+    (6, " \n\t"),
+    (7, " ".join(f"word{i}" for i in range(100_000))),
+    (8, "Before. " + " ".join(f"word{i}" for i in range(50, 80)) + " after."),
+]
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Tables with nulls, blanks, repeats and columns named like those that operators add."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    extra = {"score": F.lit("mine"), "kept": F.lit(None).cast("int"), "h": F.lit(1.5), "n_words": F.lit("w"), "ranges": F.lit("r"), "component_id": F.lit(7), "a.b": F.lit("dot"), "given_score": F.lit("g")}
+    docs = docs.withColumns(extra)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("x", "A B C, d e f g h i j k"), (None, None), ("y", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_stages_take_odd_rows(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    every = sorted(map(repr, docs.collect()))
+
+    def after(name, table=docs):
+        out = stages[name](spark, table, odd)
+        assert out.columns == table.columns and [f.dataType for f in out.schema] == [f.dataType for f in table.schema]
+        return out
+
+    scored = after("quality classifier").collect()
+    assert set(map(repr, scored)) <= set(every) and all(r["score"] == "mine" and r["a.b"] == "dot" for r in scored)
+    near = after("MinHash near-dedup").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in near if r["doc_id"]) == [(False, i) for i in (1, 3, 4, 4, 5, 6, 7, 8)] and sum(r["doc_id"] is None for r in near) == 1
+    short = {r["doc_id"]: r["text"] for r in after("substring dedup").collect()}
+    assert short[1] == ROWS[0][1] and 2 not in short and short[3] is None and short[4] == "" and short[6] == " \n\t" and short[8] == "Before. after." and short[7] == ROWS[9][1]
+    clean = after("benchmark decontamination").collect()
+    assert sorted(map(repr, clean)) == [r for r in every if "doc_id=5," not in r]
+    tokens = stages["SentencePiece encoding and decoding"](spark, docs, odd).collect()
+    assert len(tokens) == len(ROWS) and all(r["round_trip"] for r in tokens) and [r["n_tokens"] for r in tokens if r["doc_id"] == 3] == [0]
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), odd).collect() == [], name
+
+
+def test_run_takes_odd_rows(spark, odd):
+    out = corpus_pipeline.run(spark, odd).collect()
+    assert all(r["round_trip"] for r in out) and not {2, 5} & {r["doc_id"] for r in out}
