@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: dict[str, str] = {}
 _written: dict[str, SparkSession] = {}
 _scopes = threading.local()
@@ -53,6 +54,15 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand documents to Python workers by ``rows`` at a time, unless the session says otherwise.
+
+    The default of 10,000 texts of some kilobytes is copied several times in each task.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed with the scratch block it is made in or when this process ends."""
     path = f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
