@@ -15,6 +15,7 @@ Texts of any length are processed whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from quillon.llm.near_dedup import near_duplicates
 from quillon.llm.quality_fm import quality_scores
 from quillon.llm.sentencepiece_trie import encode_and_decode
 from quillon.llm.substring_dedup import dedup_substrings
-from quillon.storage import stored
+from quillon.storage import small_batches, stored
 
 
 def _names(columns: list[str]) -> dict[str, str]:
@@ -42,6 +43,16 @@ def _back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     return docs.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores below 0.7 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -49,12 +60,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(quality_scores(docs, labels).where("predicted = 1"), names)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group linked by a similarity of 0.8 or more on 5-word shingles, the smallest id stays."""
     gone = stored(near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 20-word windows that start earlier elsewhere go; a text without any stays as it is, an emptied one goes."""
     docs, names = _apart(docs)
@@ -65,6 +78,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _back(left.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text"))), names)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a 10-word window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -74,6 +88,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _back(docs.join(hit, same, "left_anti"), names)
 
 
+@_stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again as a check."""
     import public_tokenizers
