@@ -11,8 +11,8 @@ Skew.  Equal packed strings within a slice of input are sent once: all but the
 first are repeats, whatever else the corpus holds.  A first pass sums the bytes of
 every minimiser's strings.  Those with more than a part holds are hot: their windows
 travel one by one, dealt by the hash of the whole window.  The first pass also sets
-the numbers of partitions and of buckets in each, so that neither grows with the
-input: a task takes its buckets one after another and holds one at a time.
+the number of buckets, so that their size doesn't grow with the input.  A task takes
+its buckets one after another and holds one at a time.
 
 Defined cases.  A null or blank text has no words.  Texts of fewer than ``k``
 words have no windows; a text of any length is read whole.  A null id sorts before
@@ -41,9 +41,11 @@ SLICE_BYTES = 2 << 20
 #: A packed string holds so many windows at most; a longer run is cut.
 MAX_RUN = 256
 #: Text bytes that a bucket sorts at once.
-PART_BYTES = 6 << 20
-#: Bytes of strings that a bucket and a partition are to hold, and that make a minimiser hot.
-BUCKET_BYTES, PARTITION_BYTES, HOT_BYTES = 24 << 20, 256 << 20, 8 << 20
+PART_BYTES = 4 << 20
+#: Bytes of strings that a bucket is to hold, and that make a minimiser hot.
+BUCKET_BYTES, HOT_BYTES = 32 << 20, 8 << 20
+#: A partition is one bucket up to so many partitions; then each takes several, sorted.
+MOST_PARTITIONS = 50_000
 #: Hot minimisers there can be: each has over this share of all bytes.
 HOT_KEYS = 4_000_000
 _NULL_ID = -(1 << 63)
@@ -122,7 +124,7 @@ def _plan(docs: DataFrame, k: int, m: int, partitions: int) -> tuple[np.ndarray,
     weights = weights.groupBy(light.alias("light"), F.when(light, F.pmod("key", F.lit(64))).otherwise(F.col("key")).alias("key")).agg(F.sum("n").alias("n"))
     weights = stored(weights, "minimiser-weights")
     total = weights.agg(F.sum("n")).first()[0] or 0
-    partitions = max(partitions, -(-total // PARTITION_BYTES))
+    partitions = max(partitions, min(MOST_PARTITIONS, -(-total // BUCKET_BYTES)))
     buckets = max(1, -(-total // (partitions * BUCKET_BYTES)))
     least = max(min(HOT_BYTES, total // max(16, partitions)), HOT_BYTES // 256, total // HOT_KEYS)
     hot = weights.where((~F.col("light")) & (F.col("n") > least)).select("key").toArrow().column("key").to_numpy()
@@ -290,7 +292,9 @@ def repeated_windows(docs: DataFrame, k: int = 20, m: int = 4, id_col: str = "do
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot, partitions, buckets = _plan(slim, k, m, partitions)
     sent = slim.mapInArrow(lambda it: tx.lean(_send(it, k, m, partitions, buckets, hot)), "part int, bucket int, blob binary")
-    dealt = sent.repartitionById(partitions, F.col("part")).sortWithinPartitions("bucket")
+    dealt = sent.repartitionById(partitions, F.col("part"))
+    if buckets > 1:
+        dealt = dealt.sortWithinPartitions("bucket")
     return dealt.mapInArrow(lambda it: tx.lean(_receive(it, k)), _REPEATS)
 
 

@@ -582,7 +582,7 @@ def test_substring_dedup_with_a_hot_passage(spark):
 
 
 def test_substring_dedup_with_hot_minimisers_and_many_buckets(spark, monkeypatch):
-    for name, value in (("HOT_BYTES", 1 << 13), ("BUCKET_BYTES", 1 << 12), ("PARTITION_BYTES", 1 << 16)):
+    for name, value in (("HOT_BYTES", 1 << 13), ("BUCKET_BYTES", 1 << 12), ("MOST_PARTITIONS", 3)):
         monkeypatch.setattr(substring_dedup, name, value)
     rng = random.Random(12)
     rows = [(i, " ".join(rng.choices(["a", "b", "c d e f"], k=80))) for i in range(250)]
