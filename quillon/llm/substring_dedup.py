@@ -120,13 +120,13 @@ def _plan(docs: DataFrame, k: int, m: int, partitions: int) -> tuple[np.ndarray,
     """The hot minimisers, the number of partitions, and of buckets in each."""
     weights = docs.mapInArrow(lambda it: tx.lean(_weights(it, k, m)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     # light minimisers are summed up by 64 numbers, so that one pass gives the total, too
-    light = F.col("n") < HOT_BYTES // 256
+    light = F.col("n") <= HOT_BYTES
     weights = weights.groupBy(light.alias("light"), F.when(light, F.pmod("key", F.lit(64))).otherwise(F.col("key")).alias("key")).agg(F.sum("n").alias("n"))
     weights = stored(weights, "minimiser-weights")
     total = weights.agg(F.sum("n")).first()[0] or 0
     partitions = max(partitions, min(MOST_PARTITIONS, -(-total // BUCKET_BYTES)))
     buckets = max(1, -(-total // (partitions * BUCKET_BYTES)))
-    least = max(min(HOT_BYTES, total // max(16, partitions)), HOT_BYTES // 256, total // HOT_KEYS)
+    least = max(HOT_BYTES, total // HOT_KEYS)
     hot = weights.where((~F.col("light")) & (F.col("n") > least)).select("key").toArrow().column("key").to_numpy()
     return np.sort(hot.astype(np.int64).astype(np.uint64)), partitions, buckets
 
