@@ -6,9 +6,11 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.text import media_type
 
@@ -76,6 +78,9 @@ _BLANK = " \t\r\n"
 MAX_DEPTH = 10_000
 _JSON_TOKEN = re.compile(r'''[ \t\r\n]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)|(true|false|null))''')
 
+#: Equal brackets, a string (an open one with all that follows), or what has neither.
+_JSON_RUN = re.compile(r'''\[++|\{++|\]++|\}++|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\Z)|[^"\[\]{}]++''', re.DOTALL)
+
 
 class Pairs(list):
     """The members of a JSON object in order, repeats included."""
@@ -148,23 +153,56 @@ def _scan(text: str) -> tuple[object, int]:
         want = "next"
 
 
-def _first_value(text: str) -> tuple[object, int]:
+def _too_deep(text: str) -> bool:
+    """Whether brackets alone show that ``_scan`` finds the first value invalid: one opens below ``MAX_DEPTH`` others.
+
+    Up to the scanner's first error the depths are its own, and behind one the text is
+    invalid anyway.
+    """
+    if len(text) <= MAX_DEPTH or text.count("[") + text.count("{") <= MAX_DEPTH:
+        return False
+    depth = 0
+    for m in _JSON_RUN.finditer(text):
+        run = m[0]
+        if run[0] in "[{":
+            depth += len(run)
+            if depth > MAX_DEPTH:
+                return True
+        elif run[0] in "]}":
+            depth -= len(run)
+        if depth <= 0:
+            return False
+    return False
+
+
+def _first_value(text: str, cut: bool) -> tuple[object, int]:
+    """The first JSON value of a text and its end; only of a ``cut`` one does it matter whether more text could mend it."""
+    if _too_deep(text):
+        raise Invalid("depth")
     try:
         return _DECODER.raw_decode(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
         return _scan(text)
+    except ValueError as e:
+        if cut:
+            return _scan(text)
+        raise Invalid(text[:20]) from e
 
 
 def _clean(text: str) -> str:
     """A decoded string; halves of surrogate pairs become U+FFFD."""
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def _assign(fields: dict, record: Pairs, prefix: str, out: dict) -> str | None:
     """Set the fields that a JSON object names, in any case; the first of a wrong type is what is returned."""
-    named = {k.casefold(): k for k in fields}
+    named: dict = {}
     for key, value in record:
-        name = key if key in fields else named.get(key.casefold())
+        if key in fields:
+            name = key
+        else:
+            named = named or {k.casefold(): k for k in fields}
+            name = named.get(key.casefold())
         if name is None:
             continue
         kind, says = fields[name]
@@ -203,7 +241,7 @@ def read_body(body: str | None, fields: dict) -> tuple[str | None, dict]:
     if not text:
         return too_long if long else "body must not be empty", out
     try:
-        value, end = _first_value(text)
+        value, end = _first_value(text, long)
     except Incomplete:
         return too_long if long else "body is not valid JSON", out
     except Invalid:
@@ -221,20 +259,20 @@ _ITEMS = "array<struct<productId:string,quantity:bigint>>"
 
 
 def _bodies(fields: dict, schema: str) -> Callable[[Column], Column]:
-    names = list(fields)
+    kind = to_arrow_type(StructType.fromDDL(schema))
 
-    def read(body: pd.Series) -> pd.DataFrame:
+    def read(body: pa.Array) -> pa.Array:
         rows = []
-        for b in body:
+        for b in body.to_pylist():
             problem, values = read_body(b, fields)
-            rows.append((problem, *((None,) * len(names) if problem else (values.get(n) for n in names))))
-        return pd.DataFrame(rows, columns=["problem", *names], dtype=object)
+            rows.append({"problem": problem} if problem else values)
+        return pa.array(rows, kind)
 
-    return F.pandas_udf(read, schema)
+    return F.arrow_udf(read, schema)
 
 
 def _decoded(requests: DataFrame, content_type: str, body: str, fields: dict, schema: str) -> DataFrame:
-    """Bodies by a vectorised Python function: Spark's parser coerces types, keeps case and ignores what follows a value."""
+    """Bodies by a Python function on Arrow batches: Spark's parser coerces types, keeps case and ignores what follows a value."""
     wrong = F.coalesce(media_type(F.col(content_type)) != "application/json", F.lit(True))
     read = requests.withColumn("_body", _bodies(fields, schema)(F.when(~wrong, F.col(body))))
     problem = F.when(wrong, F.lit("Content-Type must be application/json")).otherwise(F.col("_body.problem"))

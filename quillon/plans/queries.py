@@ -281,6 +281,7 @@ def key_config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_body_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order bodies of twelve kinds: why each is refused, and what the others hold, names in any case."""
     line = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"))
+    line = line.repartition("l_orderkey", "p", "q")  # a small file is one task, but its bodies are a hundred times its size
     p, q, kind = F.col("p").cast("string"), F.col("q").cast("string"), (F.col("l_orderkey") + F.col("p") + F.col("q")) % 12
     body = lambda item, more="", names=("couponCode", "items"): F.concat(F.lit(f'{{"{names[0]}":"C'), p, F.lit(f'","{names[1]}":[{{'), *item, F.lit(f"}}]{more}}}"))
     plain = [F.lit('"productId":"'), p, F.lit('","quantity":'), q]

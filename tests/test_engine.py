@@ -217,6 +217,39 @@ def test_scanner_agrees_with_the_library():
         assert got == want, text
 
 
+def test_whole_bodies_are_not_scanned_token_by_token(monkeypatch):
+    def scan(text):
+        raise AssertionError(text[:20])
+
+    monkeypatch.setattr(requests, "_scan", scan)
+    deep = ["[" * 11_000 + "]" * 11_000, '{"x":' + '[{"]}\\"":' * 5_100, "[" * 10_001, '{"x":NaN}', '{"a"', "[1,]", "["]
+    assert [requests.read_body(x, {})[0] for x in deep] == ["body is not valid JSON"] * len(deep)
+    flat = "[" + "[]," * 12_000 + "[]]"
+    assert requests.read_body(flat, {})[0] == "body must be a JSON object"
+    assert requests.read_body('{"x":"' + "[" * 20_000 + '"}', {})[0] is None
+
+
+def test_depth_and_decoder_agree_with_the_scanner(monkeypatch):
+    import random
+
+    def outcome(f, *args):
+        try:
+            return f(*args)
+        except (requests.Invalid, requests.Incomplete) as e:
+            return type(e)
+
+    monkeypatch.setattr(requests, "MAX_DEPTH", 2)
+    rng, seen = random.Random(2), set()
+    parts = ["{", "}", "[", "[", "[", "]", ",", ":", '"a"', '"', '"[\\"["', "\\", "\n", "\u00e9", "1", "-", "nul", "null", " ", "{}", '{"b":[', '"\\u00', "]]"]
+    for _ in range(50_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9))).lstrip(" \n")
+        want = outcome(requests._scan, text)
+        assert outcome(requests._first_value, text, True) == want, text
+        assert outcome(requests._first_value, text, False) == (requests.Invalid if want is requests.Incomplete else want), text
+        seen.add((requests._too_deep(text), want if isinstance(want, type) else "value"))
+    assert seen == {(True, requests.Invalid), (False, requests.Invalid), (False, requests.Incomplete), (False, "value")}
+
+
 def test_bounded_cache(spark):
     import random
     from collections import OrderedDict

@@ -42,3 +42,8 @@ def test_flagship_is_sorted_and_shuffles_once_for_the_count(spark):
     assert rows == sorted(rows) and rows
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1
+
+
+def test_bodies_are_made_of_rows_dealt_over_tasks(spark):
+    plan = q.QUERIES["order_body_check"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression") < plan.index("parquet")
